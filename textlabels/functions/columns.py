@@ -85,3 +85,14 @@ def raw_tokens(c: str | Column) -> Column:
 def tokens(c: str | Column) -> Column:
     """Lower-cased white-space tokens; empty array for null or blank text."""
     return raw_tokens(F.lower(as_col(c)))
+
+
+def explode_rows(df, keep, array, *names: str):
+    """``keep`` columns + one row per array element (two names: position and element).
+
+    The outer form plus a filter on the result gives the rows of a plain
+    explode.  The plain form makes Catalyst add a ``size(array) > 0`` filter
+    below, which would compute an expensive array (tokens of a text) twice.
+    """
+    generator = F.posexplode_outer(array) if len(names) == 2 else F.explode_outer(array)
+    return df.select(*keep, generator.alias(*names)).where(F.col(names[0]).isNotNull())

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlabels.functions.columns import argmax, label_array, passes, sigmoid, tokens
+from textlabels.functions.columns import argmax, explode_rows, label_array, passes, sigmoid, tokens
 from textlabels.functions.constants import CHUNK_OVERLAP, CHUNK_SIZE, LABEL_THRESHOLD, NEUTRAL
 from textlabels.operators.labels import over_threshold
 from textlabels.operators.text import chunk_tokens
@@ -87,7 +87,7 @@ def logodds_fit(df: DataFrame, text: str, targets: Sequence[str | Column], label
     k_all = range(len(labels))
     sizes = rows.agg(F.struct(F.sum("wt").alias("n"), *[F.sum(f"y{k}").alias(f"n{k}") for k in k_all]).alias("s"))
     n = sizes.scalar()
-    counts = (rows.select(F.explode("bag").alias("token"), "wt", *[f"y{k}" for k in k_all])
+    counts = (explode_rows(rows, ["wt", *[f"y{k}" for k in k_all]], F.col("bag"), "token")
                   .groupBy("token")
                   .agg(F.sum("wt").alias("n_docs"), *[F.sum(f"y{k}").alias(f"c{k}") for k in k_all])
                   .withColumn("n", n))
@@ -117,7 +117,7 @@ def _score_bags(bags: DataFrame, keys: Sequence[str], model: LogOddsModel,
     k_all = range(len(model.labels))
     names = [f"w{k}" for k in k_all]
     budget = max(broadcast_bytes // (_TOKEN_BYTES + 8 * len(names)), 1)
-    exploded = bags.select(*keys, F.explode("bag").alias("token"))
+    exploded = explode_rows(bags, keys, F.col("bag"), "token")
 
     def summed(joined: DataFrame) -> DataFrame:
         return joined.groupBy(*keys).agg(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlabels.functions.constants import LABELS28
+from textlabels.functions.columns import label_array
+from textlabels.operators.metrics import label_table
 from textlabels.operators.quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -26,25 +28,21 @@ def value_counts(df: DataFrame, cols: Sequence[str], sort: str = "count", n: int
 def label_distribution(df: DataFrame, col: str, labels: Sequence[str] = LABELS28,
                        min_count: int | None = None) -> DataFrame:
     """Positives and percent of rows per label, from an id list; ``min_count=1`` hides labels that never occur.
-
-    One pass with one conditional count per label.
     """
-    counts = df.agg(F.count("*").alias("rows"), *[
-        F.count_if(F.array_contains(col, F.lit(j))).alias(f"c{j}") for j in range(len(labels))])
-    out = counts.select("rows", F.explode(F.array(*[
-        F.struct(F.lit(j).alias("label_id"), F.lit(x).alias("label"), F.col(f"c{j}").alias("positives"))
-        for j, x in enumerate(labels)])).alias("r")).select(
-        "r.label_id", "r.label", "r.positives",
-        (F.col("r.positives") * 100.0 / F.nullif(F.col("rows"), F.lit(0))).alias("pct"))
+    rows = df.agg(F.count("*")).scalar()
+    counts = df.select(F.explode(col).alias("label_id")).groupBy("label_id").agg(F.count("*").alias("found"))
+    names = label_table(df, labels)
+    out = names.join(counts, "label_id", "left").select(
+        "label_id", "label", F.coalesce("found", F.lit(0)).alias("positives")).withColumn(
+        "pct", F.col("positives") * 100.0 / F.nullif(rows, F.lit(0)))
     return out if min_count is None else out.where(F.col("positives") >= min_count)
 
 
 def mean_probs(df: DataFrame, probs: str, labels: Sequence[str] = LABELS28, minimum: float = 0.01) -> DataFrame:
     """Mean probability per label, labels at or below ``minimum`` dropped."""
-    means = df.agg(*[F.avg(F.get(F.col(probs), F.lit(j))).alias(f"m{j}") for j in range(len(labels))])
-    return means.select(F.explode(F.array(*[
-        F.struct(F.lit(j).alias("label_id"), F.lit(x).alias("label"), F.col(f"m{j}").alias("mean_prob"))
-        for j, x in enumerate(labels)])).alias("r")).select("r.*").where(F.col("mean_prob") > minimum)
+    return (df.select(F.posexplode(probs).alias("label_id", "p"))
+              .groupBy("label_id").agg(F.avg("p").alias("mean_prob")).where(F.col("mean_prob") > minimum)
+              .select("label_id", F.get(label_array(labels), F.col("label_id")).alias("label"), "mean_prob"))
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:

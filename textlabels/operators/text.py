@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlabels.functions.columns import is_blank, raw_tokens, strip, tokens
+from textlabels.functions.columns import explode_rows, is_blank, raw_tokens, strip, tokens
 from textlabels.functions.constants import (
     CHUNK_OVERLAP, CHUNK_SIZE, LABELS28, PROMPT_BLOCK, PROMPT_SHOTS, SPECIAL_TOKENS, VOCAB_SIZE,
 )
@@ -112,7 +112,7 @@ def vocab_build(df: DataFrame, col: str, size: int = VOCAB_SIZE,
     Counts combine map-side; the top-k keeps at most ``size`` rows, so the
     numbering window runs over a bounded table.
     """
-    counts = df.select(F.explode(tokens(col)).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    counts = explode_rows(df, [], tokens(col), "token").groupBy("token").agg(F.count("*").alias("freq"))
     order = [F.desc("freq"), F.asc("token")]
     top = counts.where(~F.col("token").isin(list(specials))).orderBy(*order).limit(max(size - len(specials), 0))
     rank = F.row_number().over(Window.orderBy(*order))
@@ -127,8 +127,8 @@ def char_coverage(df: DataFrame, col: str, coverage: float = 1.0) -> DataFrame:
 
     The running sum is over the character table, which Unicode bounds.
     """
-    counts = (df.select(F.explode(F.split(col, "")).alias("char"))
-                .where(F.col("char") != "").groupBy("char").agg(F.count("*").alias("freq")))
+    counts = (explode_rows(df, [], F.split(col, ""), "char")
+              .where(F.col("char") != "").groupBy("char").agg(F.count("*").alias("freq")))
     order = [F.desc("freq"), F.asc("char")]
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -160,11 +160,10 @@ def chunk_tokens(df: DataFrame, col: str, size: int = CHUNK_SIZE, overlap: int =
     step = size - overlap
     keep = [c for c in df.columns if c != col]
     held = df.select(*keep, tokens(col).alias("_tokens")).withColumn("_n", F.size("_tokens"))
-    starts = F.when(F.col("_n") <= size, F.array(F.lit(1))).otherwise(
-        F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1)), F.lit(step)))
-    return (held.where(F.col("_n") > 0)
-                .select(*keep, F.posexplode(F.transform(starts, lambda s: F.slice("_tokens", s, size)))
-                        .alias("chunk", "tokens")))
+    n = F.col("_n")
+    starts = (F.when(n == 0, F.array().cast("array<int>")).when(n <= size, F.array(F.lit(1)))
+               .otherwise(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(step))))
+    return explode_rows(held, keep, F.transform(starts, lambda s: F.slice("_tokens", s, size)), "chunk", "tokens")
 
 
 def corpus_lines(col: str) -> Column:

@@ -148,7 +148,7 @@ def tune(train: DataFrame, val: DataFrame, text: str, targets: Sequence[str], sp
             scored = _append_probs(val_rows, models, "probs").select(
                 F.array(*[F.col(t).cast("int") for t in targets]).alias("gold"),
                 F.transform("probs", lambda p: (p > EVAL_THRESHOLD).cast("int")).alias("pred"))
-            return "COMPLETE", multilabel_metrics(scored, "gold", "pred", targets).first()["f1_macro"]
+            return "COMPLETE", multilabel_metrics(scored, "gold", "pred").first()["f1_macro"]
         except Exception:       # recorded as a failed trial, the search goes on
             return "FAIL", None
 

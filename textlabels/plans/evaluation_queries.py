@@ -140,7 +140,7 @@ def _(spark, sf):
 @query("ce_loss", sql("gold28 scores28", """
     SELECT round(avg(-ln(greatest(probs[labels[1] + 1], 1e-12))), 6) AS loss FROM gold28 JOIN scores28 USING (doc_id)"""))
 def _(spark, sf):
-    docs = I.scores28(I.gold28(I.documents(spark, sf).select("doc_id")))
+    docs = I.scores28(I.gold28(I.doc_ids(spark, sf)))
     return rounded(E.ce_loss(docs.withColumn("gold_id", F.get("labels", F.lit(0))), "gold_id", "probs"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textlabels.functions.columns import hash32, label_array, multi_hot
 from textlabels.functions.constants import DIALOGUE7, LABELS28
 from textlabels.operators.splitting import split_three
+from textlabels.sources.workspace import materialize
 
 MODELS3 = {"published": 45, "custom_a": 55, "custom_b": 50}
 # model -> (tags of the hashes, percent of gold kept, percent of noise added)
@@ -44,6 +45,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(documents(spark, sf_dir), "doc_id")
 
 
+def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document keys, the base of the hash-derived views."""
+    return spread(documents(spark, sf_dir).select("doc_id"), "doc_id")
+
+
 def _ids() -> Column:
     return F.array(*[F.lit(j) for j in range(28)])
 
@@ -75,7 +81,7 @@ def scores28(df: DataFrame, run: str = "baseline") -> DataFrame:
 
 def multilabel(spark: SparkSession, sf_dir: str, run: str = "baseline", probs: bool = False) -> DataFrame:
     """(model, doc_id, gold_vec, pred_vec[, probs])."""
-    df = pred28(gold28(documents(spark, sf_dir).select("doc_id")), run)
+    df = pred28(gold28(doc_ids(spark, sf_dir)), run)
     if probs:
         df = scores28(df, run)
     return df.select(F.lit(run).alias("model"), "doc_id", multi_hot("labels", 28).alias("gold_vec"),
@@ -115,7 +121,7 @@ def utterance_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, gold): the first gold label of every document."""
-    df = gold28(documents(spark, sf_dir).select("doc_id"))
+    df = gold28(doc_ids(spark, sf_dir))
     return df.select(F.col("doc_id").alias("row_id"), F.get(label_array(LABELS28), F.get("labels", F.lit(0))).alias("gold"))
 
 
@@ -152,6 +158,10 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with an exact train / validation / test split."""
-    labels = split_three(table(spark, sf_dir, "labels"), "doc_id")
+    """The same with an exact train / validation / test split.
+
+    The split of the (narrow) label table is written once, so that fitting,
+    scoring and evaluation read the same assignment instead of deriving it again.
+    """
+    labels = materialize(split_three(table(spark, sf_dir, "labels"), "doc_id"), "labels-split")
     return spread(documents(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id").join(labels, "doc_id")

@@ -62,7 +62,7 @@ def _(spark, sf):
 @query("multi_hot_encode", sql("gold28", "SELECT doc_id, " + ", ".join(
     f"list_contains(labels, {j})::int AS {x}" for j, x in enumerate(LABELS28)) + " FROM gold28"))
 def _(spark, sf):
-    docs = I.gold28(I.documents(spark, sf).select("doc_id"))
+    docs = I.gold28(I.doc_ids(spark, sf))
     return L.multi_hot_encode(docs, "labels").drop("labels")
 
 
@@ -108,7 +108,7 @@ def _(spark, sf):
     SELECT doc_id, label_id, {LABEL_LIST}[label_id + 1] AS label
     FROM (SELECT doc_id, unnest(labels)::int AS label_id FROM gold28)"""))
 def _(spark, sf):
-    docs = I.gold28(I.documents(spark, sf).select("doc_id"))
+    docs = I.gold28(I.doc_ids(spark, sf))
     return L.id_to_label(docs.select("doc_id", F.explode("labels").alias("label_id")), "label_id")
 
 
@@ -128,7 +128,7 @@ _LABEL_PROBS = f"""
                                           lambda j: {LABEL_LIST}[j + 1]), ',') AS sample_labels
     FROM ({_LABEL_PROBS})"""))
 def _(spark, sf):
-    docs = I.scores28(I.documents(spark, sf).select("doc_id"))
+    docs = I.scores28(I.doc_ids(spark, sf))
     both = L.threshold_labels(docs, "probs")
     both = L.threshold_labels(both, "probs", inclusive=False, fallback="neutral", out="sample_labels")
     return both.select("doc_id", F.array_join("all_labels", ",").alias("all_labels"),
@@ -140,7 +140,7 @@ def _(spark, sf):
            array_to_string(list_transform(probs, lambda p: (p >= 0.3::double)::int), '') AS label_vec
     FROM scores28"""))
 def _(spark, sf):
-    docs = L.threshold_binary(I.scores28(I.documents(spark, sf).select("doc_id")), "probs")
+    docs = L.threshold_binary(I.scores28(I.doc_ids(spark, sf)), "probs")
     docs = L.threshold_binary(docs, "probs", 0.3, True, out="label_vec")
     return docs.select("doc_id", *[F.array_join(F.col(c).cast("array<string>"), "").alias(c)
                                    for c in ("pred_vec", "label_vec")])
@@ -150,7 +150,7 @@ def _(spark, sf):
     SELECT doc_id, {LABEL_LIST}[top + 1] AS primary_label, round(list_max(probs), 6) AS top_prob
     FROM ({_LABEL_PROBS})"""))
 def _(spark, sf):
-    docs = I.scores28(I.documents(spark, sf).select("doc_id"))
+    docs = I.scores28(I.doc_ids(spark, sf))
     return rounded(L.argmax_label(docs, "probs", out="primary_label").select(
         "doc_id", "primary_label", F.array_max("probs").alias("top_prob")))
 
@@ -161,7 +161,7 @@ def _(spark, sf):
           FROM (SELECT doc_id, unnest(range(0, 28))::int AS label_id, unnest(probs) AS p FROM scores28))
     JOIN labels28 USING (label_id) WHERE r <= 5 GROUP BY doc_id"""))
 def _(spark, sf):
-    docs = I.scores28(I.documents(spark, sf).select("doc_id"))
+    docs = I.scores28(I.doc_ids(spark, sf))
     return L.topk_labels(docs, "probs").select("doc_id", "topk_text")
 
 
@@ -169,7 +169,7 @@ def _(spark, sf):
     f"round(probs[{j + 1}], 6) AS prob_{x}, (probs[{j + 1}] >= 0.3::double)::int AS {x}"
     for j, x in enumerate(LABELS28)) + " FROM scores28"))
 def _(spark, sf):
-    docs = I.scores28(I.documents(spark, sf).select("doc_id"))
+    docs = I.scores28(I.doc_ids(spark, sf))
     return rounded(L.expand_probs(docs, "probs").drop("probs"))
 
 

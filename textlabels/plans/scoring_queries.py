@@ -182,7 +182,7 @@ def compare_on_test(spark, sf):
     constant = B.majority_predict(test.select(gold.alias("gold_vec")), majority, out="label_set").select(
         F.lit("majority").alias("model"), "gold_vec", F.split("label_set", ",").cast("array<int>").alias("pred_vec"))
 
-    metrics = E.multilabel_metrics(learned.unionByName(constant), "gold_vec", "pred_vec", BINARY, ["model"])
+    metrics = E.multilabel_metrics(learned.unionByName(constant), "gold_vec", "pred_vec", ["model"])
     return rounded(C.leaderboard(metrics))
 
 

@@ -22,7 +22,7 @@ def _(spark, sf):
     FROM labels28 LEFT JOIN (SELECT doc_id, unnest(labels)::int AS label_id FROM gold28) USING (label_id)
     GROUP BY label_id, label"""))
 def _(spark, sf):
-    return rounded(A.label_distribution(I.gold28(I.documents(spark, sf).select("doc_id")), "labels"))
+    return rounded(A.label_distribution(I.gold28(I.doc_ids(spark, sf)), "labels"))
 
 
 @query("mean_probs", sql("scores28 labels28", """
@@ -30,7 +30,7 @@ def _(spark, sf):
     FROM (SELECT unnest(range(0, 28))::int AS label_id, unnest(probs) AS p FROM scores28) JOIN labels28 USING (label_id)
     GROUP BY label_id, label HAVING avg(p) > 0.01"""))
 def _(spark, sf):
-    return rounded(A.mean_probs(I.scores28(I.documents(spark, sf).select("doc_id")), "probs"))
+    return rounded(A.mean_probs(I.scores28(I.doc_ids(spark, sf)), "probs"))
 
 
 @query("describe", f"""
