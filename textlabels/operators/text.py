@@ -93,15 +93,16 @@ def encode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int
     # Splitting stops after max_len words; posexplode_outer keeps rows without words.
     text = F.regexp_replace(F.lower(F.coalesce(F.col(col), F.lit(""))), r"^\s+", "")
     words = F.slice(F.array_remove(F.split(text, r"\s+", max_len + 1), ""), 1, max_len)
-    short = df.select(key, F.posexplode_outer(words).alias("pos", "token"))
-    ids = (short.join(F.broadcast(vocab.select("token", "id")), "token", "left")
+    short = df.select(key, F.posexplode_outer(words).alias("_pos", "_token"))
+    codes = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code"))
+    ids = (short.join(F.broadcast(codes), "_token", "left")
                 .groupBy(key)
-                .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(
-                    "pos", F.coalesce("id", F.lit(unk_id)).alias("id"))))).alias("seq")))
-    n = F.size("seq")
+                .agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(
+                    "_pos", F.coalesce("_code", F.lit(unk_id)).alias("code"))))).alias("_seq")))
+    n = F.size("_seq")
     return ids.select(
         key,
-        F.concat(F.transform("seq", lambda s: s["id"]), F.array_repeat(F.lit(pad_id), max_len - n)).alias("ids"),
+        F.concat(F.transform("_seq", lambda s: s["code"]), F.array_repeat(F.lit(pad_id), max_len - n)).alias("ids"),
         F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), max_len - n)).alias("mask"))
 
 
