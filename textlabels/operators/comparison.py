@@ -156,22 +156,17 @@ def running_best(df: DataFrame, run: str, order: Sequence[str], value: str, bloc
     rows = df.withColumn("_block", F.lit(0) if block is None else block)
     within = (Window.partitionBy(run, "_block").orderBy(*order)
                     .rowsBetween(Window.unboundedPreceding, -1))
-    local = rows.withColumn("_local", F.max(value).over(within))
-    if block is None:
-        carried = local.withColumn("_carry", F.lit(None).cast("double"))
-    else:
-        before = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        carry = (rows.groupBy(run, "_block").agg(F.max(value).alias("_top"))
-                     .withColumn("_carry", F.max("_top").over(before)).drop("_top"))
-        carried = local.join(carry, [run, "_block"])
+    earlier = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (rows.groupBy(run, "_block").agg(F.max(value).alias("_top"))
+                  .withColumn("_carry", F.max("_top").over(earlier))
+                  .withColumn("_final", F.max("_top").over(Window.partitionBy(run))))
+    joined = rows.withColumn("_local", F.max(value).over(within)).join(blocks.drop("_top"), [run, "_block"])
     best = F.greatest("_local", "_carry")               # skips nulls
-    kept = (carried.withColumn("previous_best", best)
-                   .where(F.col(value).isNotNull() & (F.col("previous_best").isNull()
-                                                      | (F.col(value) > F.col("previous_best")))))
-    final = rows.groupBy(run).agg(F.max(value).alias("_final"))
-    return (kept.join(final, run)
-                .withColumn("chosen", F.col(value) == F.col("_final"))
-                .drop("_block", "_local", "_carry", "_final"))
+    return (joined.withColumn("previous_best", best)
+                  .where(F.col("previous_best").isNull() | (F.col(value) > F.col("previous_best")))
+                  .where(F.col(value).isNotNull())
+                  .withColumn("chosen", F.col(value) == F.col("_final"))
+                  .drop("_block", "_local", "_carry", "_final"))
 
 
 def best_epoch(df: DataFrame, run: str, order: Sequence[str], value: str) -> DataFrame:

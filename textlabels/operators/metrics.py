@@ -195,13 +195,17 @@ def _line(position: Column, label: Column, precision: Column, recall: Column, sc
 
 def _report(counts: DataFrame, labels: Sequence[str], micro_name: Column, *more: Column,
             carried: Sequence[Column] = ()) -> DataFrame:
-    """Per-label lines and their averages from ``label_id, tp, fp, fn``: one row per label comes in."""
+    """Per-label lines and their averages from ``label_id, tp, fp, fn``: one row per label comes in.
+
+    Rows with a null ``label_id`` (classes outside the list) give no line and take no part in the averages.
+    """
     n = len(labels)
     hits, support = F.col("tp"), F.col("tp") + F.col("fn")
     precision, recall, score = ratio(hits, hits + F.col("fp")), ratio(hits, support), _f1()
-    lines = counts.select(
-        _line(F.col("label_id"), F.get(label_array(labels), F.col("label_id")), precision, recall, score, support).alias("l"),
-        "tp", "fp", "fn", *carried)
+    listed = F.col("label_id").isNotNull()
+    line = _line(F.col("label_id"), F.get(label_array(labels), F.col("label_id")), precision, recall, score, support)
+    lines = counts.select(F.when(listed, line).alias("l"), "label_id",
+                          *[F.when(listed, F.col(c)).alias(c) for c in ("tp", "fp", "fn")], *carried)
     weight = F.col("l.support")
 
     def averaged(position: int, name: Column, mean) -> Column:
@@ -247,10 +251,8 @@ def classification_report(preds: DataFrame, labels: Sequence[str] = LABELS28, go
     # both sides hold one row per class; classes outside the list keep a null label_id
     joined = names.join(seen, F.col("name") == F.col("label"), "full")
     counts = joined.select("label_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
-    outside = counts.agg(F.count_if(F.col("label_id").isNull()).alias("outside")).scalar()
-    listed = counts.where(F.col("label_id").isNotNull()).withColumn("outside", outside)
-    micro_name = F.when(F.max("outside") == 0, "accuracy").otherwise("micro avg")
-    return _report(listed, labels, micro_name, carried=[F.col("outside")])
+    micro_name = F.when(F.count_if(F.col("label_id").isNull()) == 0, "accuracy").otherwise("micro avg")
+    return _report(counts, labels, micro_name)
 
 
 # --- losses -----------------------------------------------------------------

@@ -9,6 +9,7 @@ from textlabels.operators.text import word_count
 from textlabels.plans import inputs as I
 from textlabels.plans.registry import query, rounded
 from textlabels.plans.sqlviews import sql, words
+from textlabels.sources.workspace import materialize
 
 
 @query("value_counts", sql("utterances", "SELECT Emotion, Speaker, count(*) AS n FROM utterances GROUP BY ALL"))
@@ -26,11 +27,12 @@ def _(spark, sf):
 
 
 @query("mean_probs", sql("scores28 labels28", """
-    SELECT label_id, label, round(avg(p), 6) AS mean_prob
+    SELECT label_id, label, round(avg(p), 9) AS mean_prob
     FROM (SELECT unnest(range(0, 28))::int AS label_id, unnest(probs) AS p FROM scores28) JOIN labels28 USING (label_id)
     GROUP BY label_id, label HAVING avg(p) > 0.01"""))
 def _(spark, sf):
-    return rounded(A.mean_probs(I.scores28(I.doc_ids(spark, sf)), "probs"))
+    # The probabilities have up to 4 decimals: at 9 digits no mean of up to 10^5 rows is a rounding tie.
+    return rounded(A.mean_probs(I.scores28(I.doc_ids(spark, sf)), "probs"), 9)
 
 
 @query("describe", f"""
@@ -39,7 +41,9 @@ def _(spark, sf):
            round(quantile_cont(v::double, 0.75), 6) AS q75, max(v)::double AS max
     FROM (SELECT len({words('text')}) AS v FROM documents)""")
 def _(spark, sf):
-    return rounded(A.describe(word_count(I.texts(spark, sf).select("doc_id", "text"), "text"), "n_words"))
+    # describe() reads its column several times: derive the numbers from the text once.
+    lengths = word_count(I.texts(spark, sf).select("doc_id", "text"), "text").select("n_words")
+    return rounded(A.describe(materialize(lengths, "lengths"), "n_words"))
 
 
 @query("group_mean", sql("utterances", f"""
