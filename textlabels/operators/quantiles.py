@@ -4,8 +4,8 @@ Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer.  Here an approximate quantile sketch only *places cut
 points* close to the wanted ranks; the ranks themselves come from exact counts:
 
-  1. per group: row count and approximate quantiles a little below and above
-     each wanted one (one small buffer per group);
+  1. per group: approximate quantiles a little below and above each wanted one
+     (one small buffer per group);
   2. values are counted (combined map-side, so a value that fills a third of
      the rows is one row) and assigned to the block between two cut points;
   3. block totals give exact rank offsets, and only the blocks that hold a
@@ -20,7 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlabels.functions.columns import total
 
 ACCURACY = 10_000
 
@@ -28,42 +27,38 @@ ACCURACY = 10_000
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """``keys`` + ``q0, q1, ...`` (double), one per entry of ``probs``; nulls are ignored."""
     keys = list(keys)
-    group = keys or ["_all"]
-    rows = (df.where(F.col(value).isNotNull())
-              .select(*(F.col(k) for k in keys), *([] if keys else [F.lit(1).alias("_all")]),
-                      F.col(value).cast("double").alias("v")))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
 
     margin = 2.0 / ACCURACY
     places = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
-    bounds = rows.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(p) for p in places]), F.lit(ACCURACY)).alias("cuts"))
-    if not keys:
-        bounds = F.broadcast(bounds)        # exactly one row
+    sketch = F.percentile_approx("v", F.array(*[F.lit(p) for p in places]), F.lit(ACCURACY))
+    bounds = rows.groupBy(*keys).agg(sketch.alias("cuts"))
 
-    counts = rows.groupBy(*group, "v").agg(F.count("*").alias("copies"))
-    placed = counts.join(bounds, group).withColumn(
-        "block", total([(F.col("v") > F.col("cuts")[i]).cast("int") for i in range(len(places))]))
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("copies"))
+    bounded = counts.join(bounds, keys) if keys else counts.withColumn("cuts", bounds.scalar())
+    placed = bounded.select(*keys, "v", "copies", F.size(F.filter("cuts", lambda c: F.col("v") > c)).alias("block"))
 
     # At most len(places) + 1 blocks per group.
-    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ranks = F.array(*[r for i, p in enumerate(probs) for r in (
         F.struct(F.lit(2 * i).alias("slot"), F.floor(F.lit(p) * (F.col("n") - 1)).alias("rank")),
         F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(F.lit(p) * (F.col("n") - 1)).alias("rank")))])
-    blocks = (placed.groupBy(*group, "block", "n").agg(F.sum("copies").alias("size"))
+    blocks = (placed.groupBy(*keys, "block").agg(F.sum("copies").alias("size"))
+                    .withColumn("n", F.sum("size").over(whole))
                     .withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
                     .withColumn("wanted", F.filter(ranks, lambda r: (r["rank"] >= F.col("offset"))
                                                    & (r["rank"] < F.col("offset") + F.col("size"))))
                     .where(F.size("wanted") > 0)
-                    .select(*group, "block", "offset", "wanted"))
+                    .select(*keys, "block", "n", "offset", "wanted"))
 
-    running = (Window.partitionBy(*group, "block").orderBy("v")
+    running = (Window.partitionBy(*keys, "block").orderBy("v")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ordered = (placed.join(blocks, [*group, "block"])
+    ordered = (placed.join(blocks, [*keys, "block"])
                      .withColumn("upto", F.col("offset") + F.sum("copies").over(running))
                      .withColumn("hit", F.explode(F.filter("wanted", lambda r: (r["rank"] < F.col("upto"))
                                                            & (r["rank"] >= F.col("upto") - F.col("copies"))))))
-    picked = ordered.groupBy(*group, "n").agg(*[
+    picked = ordered.groupBy(*keys, "n").agg(*[
         F.max(F.when(F.col("hit.slot") == s, F.col("v"))).alias(f"s{s}") for s in range(2 * len(probs))])
 
     def interpolated(i: int, p: float):

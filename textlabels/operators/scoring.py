@@ -134,8 +134,8 @@ def _score_bags(bags: DataFrame, keys: Sequence[str], model: LogOddsModel,
         sums = frequent.unionByName(rare).groupBy(*keys).agg(
             F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
     bias = model.bias.select(F.struct("*").alias("b")).scalar()
-    return sums.select(*keys, *[
-        sigmoid(bias[f"b{k}"] + F.col(f"w{k}") / F.col("n")).alias(f"p{k}") for k in k_all])
+    return sums.withColumn("b", bias).select(*keys, *[
+        sigmoid(F.col(f"b.b{k}") + F.col(f"w{k}") / F.col("n")).alias(f"p{k}") for k in k_all])
 
 
 def linear_score(df: DataFrame, key: str, text: str, model: LogOddsModel,

@@ -58,14 +58,14 @@ def _cuts(df: DataFrame, key: str, seed: int, targets: Mapping[str, Column]) ->
         F.min(F.when(F.col("name") == name, F.col("pos"))).alias(name) for name in targets]).alias("cuts"))
 
 
-def _within(df: DataFrame, key: str, seed: int, cut: Column) -> Column:
+def _within(key: str, seed: int, cut: Column) -> Column:
     return F.coalesce(_position(key, seed) <= cut, F.lit(False))
 
 
 def split_two(df: DataFrame, key: str, test: float = 0.2, seed: int = RANK_SEED, out: str = "split") -> DataFrame:
     """Exact two-way split: ``test`` gets ceil(n * test) rows, ``train`` the rest (unique keys)."""
     cuts = _cuts(df, key, seed, {"test": F.ceil(F.col("n") * F.lit(test))}).scalar()
-    return df.withColumn(out, F.when(_within(df, key, seed, cuts["test"]), "test").otherwise("train"))
+    return df.withColumn(out, F.when(_within(key, seed, cuts["test"]), "test").otherwise("train"))
 
 
 def split_three(df: DataFrame, key: str, test: float = 0.1, val: float = 0.1, seed: int = RANK_SEED,
@@ -74,9 +74,11 @@ def split_three(df: DataFrame, key: str, test: float = 0.1, val: float = 0.1, se
     n_test = F.ceil(F.col("n") * F.lit(test))
     n_val = F.ceil((F.col("n") - n_test) * F.lit(val / (1 - test)))
     cuts = _cuts(df, key, seed, {"test": n_test, "validation": n_test + n_val}).scalar()
-    return df.withColumn(out, F.when(_within(df, key, seed, cuts["test"]), "test")
-                              .when(_within(df, key, seed, cuts["validation"]), "validation")
-                              .otherwise("train"))
+    return (df.withColumn("_cuts", cuts)
+              .withColumn(out, F.when(_within(key, seed, F.col("_cuts.test")), "test")
+                                .when(_within(key, seed, F.col("_cuts.validation")), "validation")
+                                .otherwise("train"))
+              .drop("_cuts"))
 
 
 def split_hash(df: DataFrame, key: str, fractions: Mapping[str, float], rest: str = "train",

@@ -46,13 +46,17 @@ def mean_probs(df: DataFrame, probs: str, labels: Sequence[str] = LABELS28, mini
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """One row: count, mean, sample std, min, quartiles (linear interpolation), max."""
+    """One row: count, mean, sample std, min, quartiles (linear interpolation), max.
+
+    The column is read several times; if it is derived from long texts, write it to a table first.
+    """
     moments = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
                      F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
     quart = exact_quantiles(df, [], col, QUARTILES).agg(
         F.struct(F.max("q0").alias("q0"), F.max("q1").alias("q1"), F.max("q2").alias("q2"))).scalar()
-    return moments.select("count", "mean", "std", "min", quart["q0"].alias("q25"), quart["q1"].alias("q50"),
-                          quart["q2"].alias("q75"), "max")
+    return moments.withColumn("q", quart).select(
+        "count", "mean", "std", "min", F.col("q.q0").alias("q25"), F.col("q.q1").alias("q50"),
+        F.col("q.q2").alias("q75"), "max")
 
 
 def group_mean(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -82,15 +86,15 @@ def grouped_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred") -> D
 def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
     """Counts in equal-width bins from min to max; the last bin is closed, empty bins are listed with 0."""
     value = F.col(col).cast("double")
-    edge = (df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-              .select(F.struct("lo", ((F.col("hi") - F.col("lo")) / bins).alias("w")).alias("e")).scalar())
-    raw = F.when(edge["w"] > 0, F.floor((value - edge["lo"]) / F.nullif(edge["w"], F.lit(0.0)))).otherwise(F.lit(0))
-    counts = (df.where(F.col(col).isNotNull())
-                .groupBy(F.least(raw, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")))
+    edges = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(
+        F.struct("lo", ((F.col("hi") - F.col("lo")) / bins).alias("w")).alias("e"))
+    rows = df.where(F.col(col).isNotNull()).select(value.alias("v")).withColumn("e", edges.scalar())
+    raw = F.when(F.col("e.w") > 0, F.floor((F.col("v") - F.col("e.lo")) / F.nullif(F.col("e.w"), F.lit(0.0)))).otherwise(F.lit(0))
+    counts = rows.groupBy(F.least(raw, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(counts, "bin", "left").select(
-        "bin", (edge["lo"] + F.col("bin") * edge["w"]).alias("left_edge"),
-        (edge["lo"] + (F.col("bin") + 1) * edge["w"]).alias("right_edge"), F.coalesce("n", F.lit(0)).alias("n"))
+    return grid.join(counts, "bin", "left").withColumn("e", edges.scalar()).select(
+        "bin", (F.col("e.lo") + F.col("bin") * F.col("e.w")).alias("left_edge"),
+        (F.col("e.lo") + (F.col("bin") + 1) * F.col("e.w")).alias("right_edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:

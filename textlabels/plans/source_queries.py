@@ -78,10 +78,10 @@ def _(spark, sf):
     path = new_path(spark, "results")
     S.save_results(document, path)
     params = S.load_params(spark, path).select(F.struct("*").alias("p")).scalar()
-    return rounded(S.load_results(spark, path).select(
+    return rounded(S.load_results(spark, path).withColumn("p", params).select(
         *[F.col(f"{side}.test_metrics.{m}").alias(f"{alias}_{m}")
           for side, alias in (("baseline", "base"), ("tuned", "tuned")) for m in ("f1_micro", "f1_macro", "loss")],
-        "improvement.*", *[params[p].alias(p) for p in ("batch_size", "dropout", "weight_decay")]))
+        "improvement.*", "p.*"))
 
 
 _ABSENT = ["grief", "relief"]
