@@ -75,8 +75,8 @@ def _featurizer(num_features: int) -> Pipeline:
 
 
 def train_multilabel(df: DataFrame, text: str, targets: Sequence[str], labels: Sequence[str],
-                     params: Mapping = DEFAULTS, weight: str | None = None) -> MultiLabelModel:
-    """One logistic regression per label on shared, once-built features."""
+                     params: Mapping = DEFAULTS, weight: str | None = None, parallelism: int = 4) -> MultiLabelModel:
+    """One logistic regression per label on shared, once-built features; ``parallelism`` labels fit side by side."""
     num = int(params.get("num_features", DEFAULTS["num_features"]))
     rows = df.select(tokens(text).alias("_tokens"), *[F.col(t).cast("double").alias(t) for t in targets],
                      *([weight] if weight else []))
@@ -84,7 +84,8 @@ def train_multilabel(df: DataFrame, text: str, targets: Sequence[str], labels: S
     ready = features.transform(rows).select("features", *targets, *([weight] if weight else []))
     ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = tuple(_estimator(params, t, weight, "binomial").fit(ready) for t in targets)
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            models = tuple(pool.map(lambda t: _estimator(params, t, weight, "binomial").fit(ready), targets))
     finally:
         ready.unpersist()
     return MultiLabelModel(tuple(labels), features, models)
