@@ -151,4 +151,4 @@ def test_train_and_tune(spark):
 def test_a_failing_trial_is_recorded(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, "b", 1)], "id int, text string, x int")
     trials, best = T.tune(df, df, "text", ["x"], {"weight_decay": ("choice", [-1.0])}, n_trials=1, num_features=16)
-    assert trials.first().state == "FAIL" and best == {} and T.best_trials(trials).count() == 0
+    assert trials.first().state == "FAIL" and trials.first().error and best == {} and T.best_trials(trials).count() == 0

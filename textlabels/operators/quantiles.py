@@ -54,6 +54,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     running = (Window.partitionBy(*keys, "block").orderBy("v")
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not keys:
+        blocks = F.broadcast(blocks)        # at most len(places) + 1 rows
     ordered = (placed.join(blocks, [*keys, "block"])
                      .withColumn("upto", F.col("offset") + F.sum("copies").over(running))
                      .withColumn("hit", F.explode(F.filter("wanted", lambda r: (r["rank"] < F.col("upto"))

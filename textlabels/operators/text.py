@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlabels.functions.columns import explode_rows, is_blank, raw_tokens, strip, tokens
+from textlabels.functions.columns import explode_rows, raw_tokens, strip, tokens
 from textlabels.functions.constants import (
     CHUNK_OVERLAP, CHUNK_SIZE, LABELS28, PROMPT_BLOCK, PROMPT_SHOTS, SPECIAL_TOKENS, VOCAB_SIZE,
 )
@@ -170,7 +170,3 @@ def chunk_tokens(df: DataFrame, col: str, size: int = CHUNK_SIZE, overlap: int =
 def corpus_lines(col: str) -> Column:
     """One stripped line per document: inner line breaks folded to one blank."""
     return strip(F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"[\r\n]+", " "))
-
-
-def nonblank(df: DataFrame, col: str) -> DataFrame:
-    return df.where(~is_blank(col))

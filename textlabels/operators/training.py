@@ -132,7 +132,7 @@ def tune(train: DataFrame, val: DataFrame, text: str, targets: Sequence[str], sp
          num_features: int = DEFAULTS["num_features"]) -> tuple[DataFrame, dict]:
     """Random search for the macro F1 on the validation rows.
 
-    Returns the trials table ``(trial, state, value, params)`` and the best
+    Returns the trials table ``(trial, state, value, error, params)`` and the best
     parameters.  Features are built once; each trial is a set of Spark jobs,
     ``parallelism`` trials run side by side.  A trial that fails is recorded.
     """
@@ -143,15 +143,15 @@ def tune(train: DataFrame, val: DataFrame, text: str, targets: Sequence[str], sp
              for d in (train, val)]
     fit_rows, val_rows = sides
 
-    def run(params: dict) -> tuple[str, float | None]:
+    def run(params: dict) -> tuple[str, float | None, str | None]:
         try:
             models = [_estimator(params, t, None, "binomial").fit(fit_rows) for t in targets]
             scored = _append_probs(val_rows, models, "probs").select(
                 F.array(*[F.col(t).cast("int") for t in targets]).alias("gold"),
                 F.transform("probs", lambda p: (p > EVAL_THRESHOLD).cast("int")).alias("pred"))
-            return "COMPLETE", multilabel_metrics(scored, "gold", "pred").first()["f1_macro"]
-        except Exception:       # recorded as a failed trial, the search goes on
-            return "FAIL", None
+            return "COMPLETE", multilabel_metrics(scored, "gold", "pred").first()["f1_macro"], None
+        except Exception as error:      # recorded as a failed trial, the search goes on
+            return "FAIL", None, str(error)
 
     drawn = sample_params(space, n_trials, seed)
     try:
@@ -160,10 +160,11 @@ def tune(train: DataFrame, val: DataFrame, text: str, targets: Sequence[str], sp
     finally:
         for side in sides:
             side.unpersist()
-    rows = [(i, state, value, {k: str(v) for k, v in params.items()})
-            for i, (params, (state, value)) in enumerate(zip(drawn, outcome))]
-    trials = spark.createDataFrame(rows, "trial int, state string, value double, params map<string, string>")
-    complete = [(value, -i) for i, (state, value) in enumerate(outcome) if state == "COMPLETE"]
+    rows = [(i, state, value, error, {k: str(v) for k, v in params.items()})
+            for i, (params, (state, value, error)) in enumerate(zip(drawn, outcome))]
+    trials = spark.createDataFrame(
+        rows, "trial int, state string, value double, error string, params map<string, string>")
+    complete = [(value, -i) for i, (state, value, _) in enumerate(outcome) if state == "COMPLETE"]
     best = drawn[-max(complete)[1]] if complete else {}
     return trials, best
 

@@ -151,14 +151,8 @@ def documents_gaps(spark: SparkSession, sf_dir: str, spread_text: bool = False)
                       .when(F.col("doc_id") % 97 == 1, F.lit("   ")).otherwise(F.col("text")).alias("text"))
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, lang, quality, toxic): the documents with real binary labels."""
-    labels = table(spark, sf_dir, "labels")
-    return spread(documents(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id").join(labels, "doc_id")
-
-
 def labelled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with an exact train / validation / test split.
+    """(doc_id, text, lang, quality, toxic, split): the documents with real binary labels, split exactly.
 
     The split of the (narrow) label table is written once, so that fitting,
     scoring and evaluation read the same assignment instead of deriving it again.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textlabels.functions.columns import multi_hot
 from textlabels.functions.constants import COARSE7, DIALOGUE7, LABELS28, TAXONOMY
 from textlabels.operators import labels as L
 from textlabels.operators import projection as P

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from textlabels.operators import statistics as A
 from textlabels.operators.text import word_count
 from textlabels.plans import inputs as I

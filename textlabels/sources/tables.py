@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlabels.functions.columns import strip
 from textlabels.functions.constants import LABELS28, PARAM_DEFAULTS, TEXT_CANDIDATES_LABELLING
 from textlabels.operators.text import corpus_lines
 
@@ -164,7 +163,3 @@ def conform_input(df: DataFrame, text_candidates: Sequence[str] = TEXT_CANDIDATE
     taken = [] if found == text else [text]
     kept = [F.col(c).alias(text) if c == found else F.col(c) for c in df.columns if c not in taken]
     return df.select(*kept, *[F.lit(None).cast("int").alias(x) for x in missing])
-
-
-def stripped(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, strip(col))
