@@ -69,23 +69,29 @@ def test_conform_input(spark):
 
 
 class FakeSession:
-    """A session with the given checkpoint folder and master."""
+    """A session with the given checkpoint and warehouse folders."""
 
-    def __init__(self, folder, master):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+    def __init__(self, folder):
+        self.conf = {"spark.sql.warehouse.dir": "/wh/"} | ({"spark.checkpoint.dir": folder} if folder else {})
         self.sparkContext = self
-        self.master = master
 
     def getConf(self):
         return self.conf
 
 
 def test_shared_folder_comes_from_the_session():
-    assert W.new_path(FakeSession("hdfs://x/cp/", "yarn"), "t").startswith("hdfs://x/cp/textlabels/t-")
-    assert W.new_path(FakeSession("/mnt/cp", "local[2]"), "t").startswith("/mnt/cp/textlabels/t-")
-    assert "textlabels-" in W.shared_root(FakeSession(None, "local[2]"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        W.shared_root(FakeSession(None, "yarn"))
+    assert W.shared_root(FakeSession("hdfs://x/cp/")) == "hdfs://x/cp"
+    assert W.shared_root(FakeSession("/mnt/cp")) == "/mnt/cp"
+    assert W.shared_root(FakeSession(None)) == "/wh/_work"
+
+
+def test_written_tables_are_removed(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+    path = W.new_path(spark, "gone")
+    spark.range(2).write.parquet(path)
+    assert Path(urlparse(path).path).exists() and W.release(spark) >= 1
+    assert not Path(urlparse(path).path).exists() and not W._WRITTEN
 
 
 def test_materialize_reads_back_what_was_written(spark):
