@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from textlabels.llm import bpe, decontaminate, line_dedup, quality, simhash
+from textlabels.llm import (
+    bpe, decontaminate, embedding_dedup, license_scan, line_dedup, quality, simhash, suffix_dedup, toxicity, url_rules,
+)
 from textlabels.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +22,39 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, "doc_id", "text", model)
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "toxic")
+    return toxicity.score(docs, "doc_id", "text", model)
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), "page_id", "url", rules)
+
+
+OP3_SQL = """
+WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+judged AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
+"""
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -31,6 +66,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    n_removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"]), F.lit(0))
+    return found.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"),
+                        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+                        F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
@@ -90,12 +137,18 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
 
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_toxicity_chain": op2_toxicity_chain,
+    "op3_url_rules": op3_url_rules,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op7_license_scan": op7_license_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {
+    "op3_url_rules": OP3_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
 }
