@@ -7,7 +7,7 @@ import pytest
 from textlabels.plans import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-TRAINED = {"train_multilabel", "train_multiclass", "tune", "adapt_domain_trained"}
+TRAINED = {"train_multilabel", "train_multiclass", "train_multiclass_text", "tune", "adapt_domain_trained"}
 
 
 def plan(df):

@@ -149,6 +149,38 @@ def test_train_and_tune(spark):
 
 
 def test_a_failing_trial_is_recorded(spark):
-    df = spark.createDataFrame([(1, "a", 0), (2, "b", 1)], "id int, text string, x int")
-    trials, best = T.tune(df, df, "text", ["x"], {"weight_decay": ("choice", [-1.0])}, n_trials=1, num_features=16)
-    assert trials.first().state == "FAIL" and trials.first().error and best == {} and T.best_trials(trials).count() == 0
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", i % 2) for i in range(20)], "id int, text string, x int")
+    space = {"weight_decay": ("choice", [-1.0, 0.1])}
+    trials, best = T.tune(df, df, "text", ["x"], space, n_trials=6, num_features=16)
+    states = {r.state: r.error for r in trials.collect()}
+    assert set(states) == {"FAIL", "COMPLETE"} and states["FAIL"] and best == {"weight_decay": 0.1}
+    with pytest.raises(RuntimeError, match="no trial completed"):
+        T.tune(df, df, "text", ["x"], {"weight_decay": ("choice", [-1.0])}, n_trials=1, num_features=16)
+
+
+def test_text_classes(spark):
+    df = spark.createDataFrame([(i, ["red apple", "blue sky", "green tree"][i % 3] + f" w{i}", i % 3) for i in range(60)],
+                               "id int, text string, y int")
+    model = T.train_multiclass(df, "text", "y", {"epochs": 20, "weight_decay": 0.0, "num_features": 1 << 10})
+    assert all(r.pred_id == r.y for r in T.predict_multiclass(df, "text", model).collect())
+
+
+def test_every_text_is_scored_whatever_its_tokens(spark):
+    """Blank texts, a token that is frequent here but unknown to the model, and a very long token."""
+    long = "x" * 50_000
+    train = spark.createDataFrame([(1, "good fine", 1), (2, f"bad {long}", 0), (3, "good", 1)], "id int, text string, y int")
+    model = M.logodds_fit(train, "text", ["y"], ["y"]).materialize()
+    rows = [(10, None), (11, " "), (12, "good"), (13, f"new {long}")] + [(20 + i, "new good") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    results = []
+    for budget in (0, 300, 1 << 20):
+        got = {r.id: r.probs[0] for r in M.linear_score(df, "id", "text", model, budget).collect()}
+        assert set(got) == {i for i, _ in rows} and got[10] == got[11]
+        results.append({i: round(p, 12) for i, p in got.items()})
+    assert results[0] == results[1] == results[2]
+
+
+def test_scoring_asks_for_a_written_model(spark):
+    df = spark.createDataFrame([(1, "a", 1)], "id int, text string, y int")
+    with pytest.raises(ValueError, match="materialize"):
+        M.linear_score(df, "id", "text", M.logodds_fit(df, "text", ["y"], ["y"]))

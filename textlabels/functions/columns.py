@@ -96,3 +96,10 @@ def explode_rows(df, keep, array, *names: str):
     """
     generator = F.posexplode_outer(array) if len(names) == 2 else F.explode_outer(array)
     return df.select(*keep, generator.alias(*names)).where(F.col(names[0]).isNotNull())
+
+
+def join_null_safe(left, right, keys, how: str = "inner"):
+    """Join on ``keys`` where null meets null; the key columns come from the left side."""
+    held = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
+    return left.join(held, on, how).drop(*[f"_right_{i}" for i in range(len(keys))])

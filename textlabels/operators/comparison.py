@@ -13,30 +13,41 @@ from pyspark.sql import functions as F
 
 from textlabels.functions.constants import LABELS28
 from textlabels.operators.metrics import class_counts, confusion_counts, f1_per_class
-from textlabels.functions.columns import f1
+from textlabels.functions.columns import f1, join_null_safe
 
 
 def model_metrics(preds: DataFrame, model: str = "model", gold: str = "gold", pred: str = "pred") -> DataFrame:
     """(model, n, accuracy, f1_macro) for all models, from one pass over the predictions."""
-    confusion = confusion_counts(preds, gold, pred, [model])
+    return _metrics(confusion_counts(preds, gold, pred, [model]), model)
+
+
+def _metrics(confusion: DataFrame, model: str) -> DataFrame:
     hit = F.col("gold").eqNullSafe(F.col("pred"))
     sides = confusion.groupBy(model).agg(
         F.sum("n").alias("n"),
         (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     macro = class_counts(confusion, [model]).groupBy(model).agg(
         F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("f1_macro"))
-    return sides.join(macro, model)
+    return join_null_safe(sides, macro, [model])
 
 
 def evaluate_models(gold: DataFrame, preds: DataFrame, models: DataFrame | None = None, key: str = "row_id",
                     model: str = "model") -> DataFrame:
-    """Metrics of every model against one gold table.
+    """Metrics of every model against one gold table; a gold row without a prediction counts as wrong.
 
     ``models`` (one column ``model``) lists the models to report: one without
-    predictions stays in the result with metrics 0.
+    predictions stays in the result with metrics 0.  Missing predictions are
+    found by counts per class, so no row is repeated for each model.
     """
-    joined = preds.select(model, key, "pred").join(gold.select(key, "gold"), key)
-    metrics = model_metrics(joined, model)
+    found = confusion_counts(preds.select(model, key, "pred").join(gold.select(key, "gold"), key), by=[model])
+    classes = gold.groupBy("gold").agg(F.count("*").alias("rows")).agg(
+        F.collect_list(F.struct("gold", "rows"))).scalar()        # one entry per class
+    each = found.select(model).distinct().select(model, F.explode(classes).alias("c")).select(model, "c.*")
+    seen = found.groupBy(model, "gold").agg(F.sum("n").alias("seen"))
+    missing = (join_null_safe(each, seen, [model, "gold"], "left")
+               .select(model, "gold", F.lit(None).cast(found.schema["pred"].dataType).alias("pred"),
+                       (F.col("rows") - F.coalesce("seen", F.lit(0))).alias("n")).where("n > 0"))
+    metrics = _metrics(found.unionByName(missing), model)
     if models is None:
         return metrics
     return models.select(model).join(metrics, model, "left").select(
@@ -109,18 +120,24 @@ def compare_per_class(df: DataFrame, gold_vec: str, pred_vec: str, base: str, ne
                        base, new, model)
     if n is None:
         return table
-    top = table.limit(n).withColumn("side", F.lit("top"))
-    bottom = table.orderBy("improvement", F.desc("label")).limit(n).withColumn("side", F.lit("bottom"))
-    return top.unionByName(bottom)
+    # both ranks in one pass; the windows run over one row per label
+    ends = {"top": [F.desc("improvement"), F.asc("label")], "bottom": [F.asc("improvement"), F.desc("label")]}
+    sides = F.array(*[F.when(F.row_number().over(Window.orderBy(*order)) <= n, side) for side, order in ends.items()])
+    return table.withColumn("side", sides).withColumn("side", F.explode("side")).where(F.col("side").isNotNull())
 
 
 def _pair_outcomes(preds: DataFrame, base: str, new: str, key: str, model: str) -> DataFrame:
-    """row_id, gold, both predictions and the category of the pair."""
-    old = preds.where(F.col(model) == base).select(key, "gold", F.col("pred").alias("base_pred"))
-    other = preds.where(F.col(model) == new).select(key, F.col("pred").alias("new_pred"))
+    """row_id, gold, both predictions and the category of the pair, in one pass over the predictions.
+
+    A row that only one of the models predicted stays: the missing prediction is
+    null and wrong.
+    """
+    side = lambda m: F.max(F.when(F.col(model) == m, F.col("pred")))
+    pairs = (preds.where(F.col(model).isin(base, new)).groupBy(key)
+             .agg(F.max("gold").alias("gold"), side(base).alias("base_pred"), side(new).alias("new_pred")))
     base_ok = F.col("base_pred").eqNullSafe(F.col("gold"))
     new_ok = F.col("new_pred").eqNullSafe(F.col("gold"))
-    return old.join(other, key).withColumn(
+    return pairs.withColumn(
         "category", F.when(~base_ok & new_ok, "improvement").when(base_ok & ~new_ok, "regression")
                      .when(~base_ok & ~new_ok, "persistent").otherwise("both_correct"))
 
@@ -151,7 +168,8 @@ def running_best(df: DataFrame, run: str, order: Sequence[str], value: str, bloc
     stands in the end.  ``block`` is an optional expression that never
     decreases along ``order``: the run is then worked on block by block, with
     the best of all earlier blocks carried in from a table of block maxima, so
-    a run that holds a large share of all rows is spread over many tasks.
+    a run that holds a large share of all rows is spread over many tasks.  A
+    null run is a run, a null block comes before all others.
     """
     rows = df.withColumn("_block", F.lit(0) if block is None else block)
     within = (Window.partitionBy(run, "_block").orderBy(*order)
@@ -160,7 +178,7 @@ def running_best(df: DataFrame, run: str, order: Sequence[str], value: str, bloc
     blocks = (rows.groupBy(run, "_block").agg(F.max(value).alias("_top"))
                   .withColumn("_carry", F.max("_top").over(earlier))
                   .withColumn("_final", F.max("_top").over(Window.partitionBy(run))))
-    joined = rows.withColumn("_local", F.max(value).over(within)).join(blocks.drop("_top"), [run, "_block"])
+    joined = join_null_safe(rows.withColumn("_local", F.max(value).over(within)), blocks.drop("_top"), [run, "_block"])
     best = F.greatest("_local", "_carry")               # skips nulls
     return (joined.withColumn("previous_best", best)
                   .where(F.col("previous_best").isNull() | (F.col(value) > F.col("previous_best")))

@@ -20,12 +20,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlabels.functions.columns import join_null_safe
 
 ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """``keys`` + ``q0, q1, ...`` (double), one per entry of ``probs``; nulls are ignored."""
+    """``keys`` + ``q0, q1, ...`` (double), one per entry of ``probs``; null values are ignored, null keys are a group."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
 
@@ -35,7 +36,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     bounds = rows.groupBy(*keys).agg(sketch.alias("cuts"))
 
     counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("copies"))
-    bounded = counts.join(bounds, keys) if keys else counts.withColumn("cuts", bounds.scalar())
+    bounded = join_null_safe(counts, bounds, keys) if keys else counts.withColumn("cuts", bounds.scalar())
     placed = bounded.select(*keys, "v", "copies", F.size(F.filter("cuts", lambda c: F.col("v") > c)).alias("block"))
 
     # At most len(places) + 1 blocks per group.
@@ -56,7 +57,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if not keys:
         blocks = F.broadcast(blocks)        # at most len(places) + 1 rows
-    ordered = (placed.join(blocks, [*keys, "block"])
+    ordered = (join_null_safe(placed, blocks, [*keys, "block"])
                      .withColumn("upto", F.col("offset") + F.sum("copies").over(running))
                      .withColumn("hit", F.explode(F.filter("wanted", lambda r: (r["rank"] < F.col("upto"))
                                                            & (r["rank"] >= F.col("upto") - F.col("copies"))))))

@@ -29,7 +29,8 @@ from textlabels.sources.workspace import materialize
 
 # Weights are broadcast up to this many bytes: the most frequent tokens that fit.
 BROADCAST_BYTES = 128 * 1024 * 1024
-_TOKEN_BYTES = 64           # generous size of one token with its row overhead
+_ROW_BYTES = 64             # overhead of one broadcast row beside its token and weights
+_SALTS = 16                 # shares into which the tokens of one key are dealt
 
 
 @dataclass(frozen=True)
@@ -103,44 +104,62 @@ def logodds_fit(df: DataFrame, text: str, targets: Sequence[str | Column], label
     return LogOddsModel(tuple(labels), weights, bias)
 
 
+def _split_weights(model: LogOddsModel, budget: int) -> tuple[DataFrame, DataFrame]:
+    """The weights of the most frequent tokens, at most ``budget`` measured bytes, and the others.
+
+    The cut lies between two powers of two of ``n_docs``, read off a table of at
+    most 64 rows: nothing is sorted or limited.
+    """
+    size = F.octet_length("token") + F.lit(_ROW_BYTES + 8 * len(model.labels))
+    power = F.floor(F.log2(F.greatest(F.col("n_docs"), F.lit(1.0)))).cast("int")
+    sizes = model.weights.groupBy(power.alias("power")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("power")).collect()
+    cut, used = 1 << 62, 0
+    for row in sizes:
+        used += row["bytes"]
+        if used > budget:
+            break
+        cut = row["power"]
+    frequent = power >= F.lit(cut if cut < 64 else 64)
+    names = [f"w{k}" for k in range(len(model.labels))]
+    return (model.weights.where(frequent).select("token", *names), model.weights.where(~frequent).select("token", *names))
+
+
 def _score_bags(bags: DataFrame, keys: Sequence[str], model: LogOddsModel,
                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``keys, bag`` (distinct tokens) -> ``keys, p0..pk``.
-
-    The weights of as many tokens as fit in ``broadcast_bytes`` are broadcast,
-    most frequent first: their contributions are summed where the text is read
-    and only one row per key is shuffled.  A model that fits entirely needs
-    nothing else.  For a larger one the remaining tokens, rare by construction
-    and so free of hot keys, are shuffled to meet their weights.
+    """``keys, bag`` (distinct tokens, null or empty for a blank text) -> ``keys, n, p0..pk``.
+
+    The weights of the most frequent tokens, as many as fit in
+    ``broadcast_bytes``, are broadcast and summed where the text is read.  The
+    tokens left over stay with their row as a list, so the text is read once;
+    they then meet the other weights in a shuffle that is salted, as a token
+    that the model does not know may be frequent here.  A bag without tokens has
+    ``n`` = 0 and the probabilities of the bias.
     """
-    model = model.materialize()
+    if model.n_tokens is None:
+        raise ValueError("score with a written model: call materialize() on it first")
     k_all = range(len(model.labels))
     names = [f"w{k}" for k in k_all]
-    budget = max(broadcast_bytes // (_TOKEN_BYTES + 8 * len(names)), 1)
-    exploded = explode_rows(bags, keys, F.col("bag"), "token")
-
-    def summed(joined: DataFrame) -> DataFrame:
-        return joined.groupBy(*keys).agg(
-            F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in names])
-
-    weights = model.weights.select("token", *names)
-    if model.n_tokens <= budget:
-        sums = summed(exploded.join(F.broadcast(weights), "token", "left"))
-    else:
-        hot = model.weights.orderBy(F.desc("n_docs"), "token").limit(budget).select("token", *names)
-        frequent = summed(exploded.join(F.broadcast(hot), "token"))
-        rare = summed(exploded.join(F.broadcast(hot.select("token")), "token", "left_anti")
-                              .join(weights, "token", "left"))
-        sums = frequent.unionByName(rare).groupBy(*keys).agg(
-            F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    frequent, others = _split_weights(model, broadcast_bytes)
+    tokens_of = bags.select(*keys, F.coalesce(F.size("bag"), F.lit(0)).alias("n"), F.explode_outer("bag").alias("token"))
+    met = tokens_of.join(F.broadcast(frequent.withColumn("_met", F.lit(True))), "token", "left")
+    partial = materialize(met.groupBy(*keys, "n").agg(
+        *[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in names],
+        F.collect_list(F.when(F.col("_met").isNull(), F.col("token"))).alias("_rest")), "partial-scores")
+    rest = (partial.select(*keys, "n", F.explode("_rest").alias("token"))
+            .withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int")))
+    spread = others.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    tail = rest.join(spread, ["token", "_salt"]).select(*keys, "n", *names)
+    sums = (partial.select(*keys, "n", *names).unionByName(tail)
+            .groupBy(*keys, "n").agg(*[F.sum(c).alias(c) for c in names]))
     bias = model.bias.select(F.struct("*").alias("b")).scalar()
-    return sums.withColumn("b", bias).select(*keys, *[
-        sigmoid(F.col(f"b.b{k}") + F.col(f"w{k}") / F.col("n")).alias(f"p{k}") for k in k_all])
+    return sums.withColumn("b", bias).select(*keys, "n", *[
+        sigmoid(F.col(f"b.b{k}") + F.when(F.col("n") > 0, F.col(f"w{k}") / F.nullif(F.col("n"), F.lit(0))).otherwise(F.lit(0.0)))
+        .alias(f"p{k}") for k in k_all])
 
 
 def linear_score(df: DataFrame, key: str, text: str, model: LogOddsModel,
                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``key, probs``: whole texts scored as one bag; rows without tokens give no row."""
+    """``key, probs`` for every row: whole texts scored as one bag; without tokens the bias decides."""
     bags = df.select(key, F.array_distinct(tokens(text)).alias("bag"))
     scored = _score_bags(bags, [key], model, broadcast_bytes)
     return scored.select(key, F.array(*[F.col(f"p{k}") for k in range(len(model.labels))]).alias("probs"))
@@ -148,13 +167,17 @@ def linear_score(df: DataFrame, key: str, text: str, model: LogOddsModel,
 
 def _score_chunks(df: DataFrame, key: str, text: str, model: LogOddsModel, size: int, overlap: int,
                   broadcast_bytes: int) -> DataFrame:
-    """``key, probs, chunks``: unweighted mean over the chunks of a text; blank texts give no row."""
-    bags = (chunk_tokens(df.select(key, text), text, size, overlap)
+    """``key, probs, chunks``: unweighted mean over the chunks of a text; both null for a blank text."""
+    bags = (chunk_tokens(df.select(key, text), text, size, overlap, blank=True)
             .select(key, "chunk", F.array_distinct("tokens").alias("bag")))
     k_all = range(len(model.labels))
     per_chunk = _score_bags(bags, [key, "chunk"], model, broadcast_bytes)
-    means = per_chunk.groupBy(key).agg(F.count("*").alias("chunks"), *[F.avg(f"p{k}").alias(f"p{k}") for k in k_all])
-    return means.select(key, F.array(*[F.col(f"p{k}") for k in k_all]).alias("probs"), "chunks")
+    real = F.col("n") > 0
+    means = per_chunk.groupBy(key).agg(F.count_if(real).alias("chunks"),
+                                       *[F.avg(F.when(real, F.col(f"p{k}"))).alias(f"p{k}") for k in k_all])
+    some = F.col("chunks") > 0
+    return means.select(key, F.when(some, F.array(*[F.col(f"p{k}") for k in k_all])).alias("probs"),
+                        F.when(some, F.col("chunks")).alias("chunks"))
 
 
 def _decide(joined: DataFrame, labels: Sequence[str], threshold: float, blank_label: str) -> DataFrame:
@@ -180,7 +203,7 @@ def score_long_text(df: DataFrame, key: str, text: str, model: LogOddsModel, siz
     ``blank_label``.
     """
     scored = _score_chunks(df, key, text, model, size, overlap, broadcast_bytes)
-    return _decide(df.select(key).join(scored, key, "left"), model.labels, threshold, blank_label)
+    return _decide(scored, model.labels, threshold, blank_label)
 
 
 def label_table(df: DataFrame, key: str, text: str, model: LogOddsModel, size: int = CHUNK_SIZE,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlabels.functions.constants import LABELS28
-from textlabels.functions.columns import label_array
+from textlabels.functions.columns import join_null_safe, label_array
 from textlabels.operators.metrics import label_table
 from textlabels.operators.quantiles import exact_quantiles
 
@@ -73,7 +73,7 @@ def split_stats(df: DataFrame, split: str = "split", label: str = "label") -> Da
     """Rows per split and per (split, label)."""
     per_label = df.groupBy(split, label).agg(F.count("*").alias("n"))
     totals = per_label.groupBy(split).agg(F.sum("n").alias("split_rows"))
-    return per_label.join(totals, split)
+    return join_null_safe(per_label, totals, [split])
 
 
 def grouped_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -98,12 +98,12 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
 
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Minimum, quartiles and maximum per group."""
+    """Minimum, quartiles and maximum per group; a null key is a group, a group without values has nulls."""
     quart = exact_quantiles(df, [key], value, QUARTILES)
-    ends = df.where(F.col(value).isNotNull()).groupBy(key).agg(
+    ends = df.groupBy(key).agg(
         F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"),
-        F.count("*").alias("n"))
-    return ends.join(quart, key).select(
+        F.count(value).alias("n"))
+    return join_null_safe(ends, quart, [key], "left").select(
         key, "n", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 

@@ -150,8 +150,10 @@ def assemble_corpus(parts: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-def chunk_tokens(df: DataFrame, col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """One row per (input row, chunk): ``chunk`` number and ``tokens``; rows without tokens give none.
+def chunk_tokens(df: DataFrame, col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                 blank: bool = False) -> DataFrame:
+    """One row per (input row, chunk): ``chunk`` number and ``tokens``; rows without tokens give none,
+    or with ``blank`` one without a number.
 
     Chunks start at 0, size-overlap, 2(size-overlap), ... while the start lies
     inside the text; a text of up to ``size`` tokens is one chunk.  The slices
@@ -164,7 +166,10 @@ def chunk_tokens(df: DataFrame, col: str, size: int = CHUNK_SIZE, overlap: int =
     n = F.col("_n")
     starts = (F.when(n == 0, F.array().cast("array<int>")).when(n <= size, F.array(F.lit(1)))
                .otherwise(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(step))))
-    return explode_rows(held, keep, F.transform(starts, lambda s: F.slice("_tokens", s, size)), "chunk", "tokens")
+    chunks = F.transform(starts, lambda s: F.slice("_tokens", s, size))
+    if blank:
+        return held.select(*keep, F.posexplode_outer(chunks).alias("chunk", "tokens"))
+    return explode_rows(held, keep, chunks, "chunk", "tokens")
 
 
 def corpus_lines(col: str) -> Column:

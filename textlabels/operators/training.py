@@ -26,7 +26,7 @@ from textlabels.functions.columns import tokens
 from textlabels.functions.constants import EVAL_THRESHOLD
 from textlabels.operators.metrics import multilabel_metrics
 
-DEFAULTS = {"weight_decay": 0.01, "epochs": 10, "num_features": 1 << 14}
+DEFAULTS = {"weight_decay": 0.01, "epochs": 10, "num_features": 1 << 18}
 
 # Search space: kind and bounds per parameter.
 SPACE = {
@@ -74,15 +74,32 @@ def _featurizer(num_features: int) -> Pipeline:
                             IDF(inputCol="_tf", outputCol="features")])
 
 
+def _text_features(df: DataFrame, text: str, columns: Sequence, num_features: int) -> tuple[PipelineModel, DataFrame]:
+    """The fitted featurizer and the persisted ``features`` + ``columns``; the text is split once.
+
+    The term frequencies are persisted and serve both the IDF and the features.
+    The caller unpersists the result.
+    """
+    hashing, idf = _featurizer(num_features).getStages()
+    tf = hashing.transform(df.select(tokens(text).alias("_tokens"), *columns)).drop("_tokens").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = idf.fit(tf)
+        ready = fitted.transform(tf).drop("_tf").persist(StorageLevel.MEMORY_AND_DISK)
+        ready.count()
+    finally:
+        tf.unpersist()
+    return PipelineModel([hashing, fitted]), ready
+
+
 def train_multilabel(df: DataFrame, text: str, targets: Sequence[str], labels: Sequence[str],
                      params: Mapping = DEFAULTS, weight: str | None = None, parallelism: int = 4) -> MultiLabelModel:
-    """One logistic regression per label on shared, once-built features; ``parallelism`` labels fit side by side."""
+    """One logistic regression per label on shared, once-built features; ``parallelism`` labels fit side by side.
+
+    ``num_features`` bounds the hashed vocabulary (2^18 by default): choose it well
+    above the number of different tokens that matter.
+    """
     num = int(params.get("num_features", DEFAULTS["num_features"]))
-    rows = df.select(tokens(text).alias("_tokens"), *[F.col(t).cast("double").alias(t) for t in targets],
-                     *([weight] if weight else []))
-    features = _featurizer(num).fit(rows)
-    ready = features.transform(rows).select("features", *targets, *([weight] if weight else []))
-    ready.persist(StorageLevel.MEMORY_AND_DISK)
+    features, ready = _text_features(df, text, [*[F.col(t).cast("double").alias(t) for t in targets], *([weight] if weight else [])], num)
     try:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             models = tuple(pool.map(lambda t: _estimator(params, t, weight, "binomial").fit(ready), targets))
@@ -91,8 +108,23 @@ def train_multilabel(df: DataFrame, text: str, targets: Sequence[str], labels: S
     return MultiLabelModel(tuple(labels), features, models)
 
 
-def train_multiclass(df: DataFrame, col: str, label: str, params: Mapping = DEFAULTS) -> LogisticRegressionModel:
-    """Softmax classifier on an array column of numbers."""
+@dataclass(frozen=True)
+class TextClassModel:
+    """Softmax model on the words of a text."""
+
+    features: PipelineModel
+    model: LogisticRegressionModel
+
+
+def train_multiclass(df: DataFrame, col: str, label: str, params: Mapping = DEFAULTS) -> LogisticRegressionModel | TextClassModel:
+    """Softmax classifier on a text column or on an array column of numbers; ``label`` holds class ids from 0."""
+    if df.schema[col].dataType.typeName() == "string":
+        num = int(params.get("num_features", DEFAULTS["num_features"]))
+        features, ready = _text_features(df, col, [F.col(label).cast("double").alias("label")], num)
+        try:
+            return TextClassModel(features, _estimator(params, "label", None, "multinomial").fit(ready))
+        finally:
+            ready.unpersist()
     rows = df.select(array_to_vector(F.col(col).cast("array<double>")).alias("features"),
                      F.col(label).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -101,10 +133,13 @@ def train_multiclass(df: DataFrame, col: str, label: str, params: Mapping = DEFA
         rows.unpersist()
 
 
-def predict_multiclass(df: DataFrame, col: str, model: LogisticRegressionModel, out: str = "pred_id",
+def predict_multiclass(df: DataFrame, col: str, model: LogisticRegressionModel | TextClassModel, out: str = "pred_id",
                        probs: str = "probs") -> DataFrame:
-    rows = df.withColumn("features", array_to_vector(F.col(col).cast("array<double>")))
-    return (model.transform(rows).withColumn(out, F.col("prediction").cast("int"))
+    if isinstance(model, TextClassModel):
+        rows, fitted = model.features.transform(df.withColumn("_tokens", tokens(col))).drop("_tokens", "_tf"), model.model
+    else:
+        rows, fitted = df.withColumn("features", array_to_vector(F.col(col).cast("array<double>"))), model
+    return (fitted.transform(rows).withColumn(out, F.col("prediction").cast("int"))
                  .withColumn(probs, vector_to_array("probability"))
                  .drop("features", "rawPrediction", "probability", "prediction"))
 
@@ -134,14 +169,14 @@ def tune(train: DataFrame, val: DataFrame, text: str, targets: Sequence[str], sp
 
     Returns the trials table ``(trial, state, value, error, params)`` and the best
     parameters.  Features are built once; each trial is a set of Spark jobs,
-    ``parallelism`` trials run side by side.  A trial that fails is recorded.
+    ``parallelism`` trials run side by side.  A trial that fails is recorded;
+    if none completes, that is an error.
     """
     spark = train.sparkSession
-    columns = [tokens(text).alias("_tokens"), *[F.col(t).cast("double").alias(t) for t in targets]]
-    features = _featurizer(num_features).fit(train.select(*columns))
-    sides = [features.transform(d.select(*columns)).select("features", *targets).persist(StorageLevel.MEMORY_AND_DISK)
-             for d in (train, val)]
-    fit_rows, val_rows = sides
+    columns = [F.col(t).cast("double").alias(t) for t in targets]
+    features, fit_rows = _text_features(train, text, columns, num_features)
+    val_rows = (features.transform(val.select(tokens(text).alias("_tokens"), *columns)).select("features", *targets)
+                .persist(StorageLevel.MEMORY_AND_DISK))
 
     def run(params: dict) -> tuple[str, float | None, str | None]:
         try:
@@ -158,14 +193,16 @@ def tune(train: DataFrame, val: DataFrame, text: str, targets: Sequence[str], sp
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             outcome = list(pool.map(run, drawn))
     finally:
-        for side in sides:
-            side.unpersist()
+        fit_rows.unpersist()
+        val_rows.unpersist()
+    if all(state == "FAIL" for state, _, _ in outcome):
+        raise RuntimeError(f"no trial completed; the first failed with: {outcome[0][2] if outcome else 'no trials'}")
     rows = [(i, state, value, error, {k: str(v) for k, v in params.items()})
             for i, (params, (state, value, error)) in enumerate(zip(drawn, outcome))]
     trials = spark.createDataFrame(
         rows, "trial int, state string, value double, error string, params map<string, string>")
     complete = [(value, -i) for i, (state, value, _) in enumerate(outcome) if state == "COMPLETE"]
-    best = drawn[-max(complete)[1]] if complete else {}
+    best = drawn[-max(complete)[1]]
     return trials, best
 
 

@@ -10,7 +10,7 @@ from textlabels.operators import labels as L
 from textlabels.operators import metrics as E
 from textlabels.plans import inputs as I
 from textlabels.plans.registry import query, rounded
-from textlabels.plans.sqlviews import sql
+from textlabels.plans.sqlviews import LABEL_LIST, sql, strip, words
 
 # The share of true positives; 0 where the denominator is 0.
 _P = "CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END"
@@ -27,9 +27,10 @@ def _(spark, sf):
     return rounded(E.accuracy(I.preds3(spark, sf), by=["model"]))
 
 
-@query("invalid_rate", sql("raw_outputs", r"""
+@query("invalid_rate", sql("raw_outputs", f"""
     SELECT count(*) AS n, sum(bad)::bigint AS n_invalid, round(avg(bad), 6) AS invalid_rate
-    FROM (SELECT (output IN ('joy.', ''))::int AS bad FROM raw_outputs)"""))
+    FROM (SELECT (NOT list_has_any({LABEL_LIST}, list_append({words('lower(output)')}, {strip('lower(output)')})))::int AS bad
+          FROM raw_outputs)"""))
 def _(spark, sf):
     return rounded(E.invalid_rate(L.normalize_label(I.raw_outputs(spark, sf), "output", out="pred")))
 

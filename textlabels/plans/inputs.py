@@ -25,29 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that has fewer splits than the cluster has cores.
-
-    Meant for CPU-heavy work on a small number of unsplittable files (one row
-    group each).  With as many splits as cores, as in any large table, it
-    returns the scan unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for token work."""
-    return spread(documents(spark, sf_dir), "doc_id")
-
-
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document keys, the base of the hash-derived views."""
-    return spread(documents(spark, sf_dir).select("doc_id"), "doc_id")
+    return documents(spark, sf_dir).select("doc_id")
 
 
 def _ids() -> Column:
@@ -65,31 +49,41 @@ def gold28(df: DataFrame) -> DataFrame:
               .withColumn("labels", F.when(F.size("labels") == 0, F.array(F.lit(27))).otherwise(F.col("labels"))))
 
 
+def _pred(run: str) -> Column:
+    keep, noise, _, kept_pct, noise_pct = RUNS[run]
+    return F.filter(_ids(), lambda j: (
+        (F.array_contains("labels", j) & (_h(keep, j) % 100 < kept_pct)) | (_h(noise, j) % 100 < noise_pct)))
+
+
+def _scores(run: str) -> Column:
+    tag = RUNS[run][2]
+    scale = F.when(F.col("doc_id") % 4 == 0, F.lit(0.29)).otherwise(F.lit(1.0))
+    return F.transform(_ids(), lambda j: (_h(tag, j) % 101) / F.lit(100.0) * scale)
+
+
 def pred28(df: DataFrame, run: str = "baseline") -> DataFrame:
     """Adds ``pred_labels`` to a table with gold ``labels``."""
-    keep, noise, _, kept_pct, noise_pct = RUNS[run]
-    return df.withColumn("pred_labels", F.filter(_ids(), lambda j: (
-        (F.array_contains("labels", j) & (_h(keep, j) % 100 < kept_pct)) | (_h(noise, j) % 100 < noise_pct))))
+    return df.withColumn("pred_labels", _pred(run))
 
 
 def scores28(df: DataFrame, run: str = "baseline") -> DataFrame:
     """Adds ``probs``: two-decimal values, so ties and exact thresholds occur."""
-    tag = RUNS[run][2]
-    scale = F.when(F.col("doc_id") % 4 == 0, F.lit(0.29)).otherwise(F.lit(1.0))
-    return df.withColumn("probs", F.transform(_ids(), lambda j: (_h(tag, j) % 101) / F.lit(100.0) * scale))
+    return df.withColumn("probs", _scores(run))
 
 
-def multilabel(spark: SparkSession, sf_dir: str, run: str = "baseline", probs: bool = False) -> DataFrame:
-    """(model, doc_id, gold_vec, pred_vec[, probs])."""
-    df = pred28(gold28(doc_ids(spark, sf_dir)), run)
-    if probs:
-        df = scores28(df, run)
-    return df.select(F.lit(run).alias("model"), "doc_id", multi_hot("labels", 28).alias("gold_vec"),
-                     multi_hot("pred_labels", 28).alias("pred_vec"), *(["probs"] if probs else []))
+def multilabel_runs(spark: SparkSession, sf_dir: str, probs: bool = False, runs: tuple[str, ...] = tuple(RUNS)) -> DataFrame:
+    """(model, doc_id, gold_vec, pred_vec[, probs]) of all runs, from one pass over the documents."""
+    rows = gold28(doc_ids(spark, sf_dir))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("model"), _pred(r).alias("pred_labels"),
+                                        *([_scores(r).alias("probs")] if probs else [])) for r in runs]))
+    return rows.select("doc_id", "labels", each.alias("r")).select("doc_id", "labels", "r.*").select(
+        "model", "doc_id", multi_hot("labels", 28).alias("gold_vec"), multi_hot("pred_labels", 28).alias("pred_vec"),
+        *(["probs"] if probs else []))
 
 
-def multilabel_runs(spark: SparkSession, sf_dir: str, probs: bool = False) -> DataFrame:
-    return multilabel(spark, sf_dir, "baseline", probs).unionByName(multilabel(spark, sf_dir, "tuned", probs))
+def multilabel(spark: SparkSession, sf_dir: str, run: str = "baseline", probs: bool = False) -> DataFrame:
+    """(model, doc_id, gold_vec, pred_vec[, probs]) of one run."""
+    return multilabel_runs(spark, sf_dir, probs, (run,))
 
 
 def annotations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,17 +132,17 @@ RAW_OUTPUTS = [" Joy \nmore", "joy", "i think joy", "joy.", "", "sadness or joy"
 
 
 def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, output): generated lines of the kinds a language model returns."""
+    """(row_id, output): what a language model returns: an answer and the text after it, or only text."""
+    answer = F.get(label_array(RAW_OUTPUTS), (hash32("doc_id", F.lit("o")) % 8).cast("int"))
     return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("row_id"),
-        F.get(label_array(RAW_OUTPUTS), (hash32("doc_id", F.lit("o")) % 7).cast("int")).alias("output"))
+        F.col("doc_id").alias("row_id"), F.coalesce(F.concat(answer, F.lit("\n"), "text"), "text").alias("output"))
 
 
-def documents_gaps(spark: SparkSession, sf_dir: str, spread_text: bool = False) -> DataFrame:
-    """(doc_id, text) with null and blank texts."""
-    src = texts(spark, sf_dir) if spread_text else documents(spark, sf_dir)
-    return src.select("doc_id", F.when(F.col("doc_id") % 97 == 0, F.lit(None))
-                      .when(F.col("doc_id") % 97 == 1, F.lit("   ")).otherwise(F.col("text")).alias("text"))
+def documents_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): all documents, and rows with null and blank texts besides (negative ids)."""
+    more = doc_ids(spark, sf_dir).where("doc_id % 97 <= 1").select(
+        (-F.col("doc_id") - 1).alias("doc_id"), F.when(F.col("doc_id") % 97 == 1, "   ").alias("text"))
+    return documents(spark, sf_dir).select("doc_id", "text").unionByName(more)
 
 
 def labelled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,4 +152,4 @@ def labelled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     scoring and evaluation read the same assignment instead of deriving it again.
     """
     labels = materialize(split_three(table(spark, sf_dir, "labels"), "doc_id"), "labels-split")
-    return spread(documents(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id").join(labels, "doc_id")
+    return documents(spark, sf_dir).select("doc_id", "text", "lang").join(labels, "doc_id")

@@ -17,7 +17,7 @@ from textlabels.operators.splitting import split_hash, split_three
 from textlabels.plans import inputs as I
 from textlabels.plans.inputs import BINARY
 from textlabels.plans.registry import query, rounded
-from textlabels.plans.sqlviews import LABEL_LIST, sql, toks
+from textlabels.plans.sqlviews import LABEL_LIST, h, sql, toks
 
 _PIVOT = "max(prob) FILTER (label = 'quality') AS p_quality, max(prob) FILTER (label = 'toxic') AS p_toxic"
 
@@ -29,7 +29,7 @@ def _pair(probs: str = "probs"):
 def fit_binary(spark, sf):
     """The log-odds model of the two real labels, from the training split."""
     train = I.labelled_split(spark, sf).where(F.col("split") == "train")
-    return M.logodds_fit(train, "text", BINARY, BINARY)
+    return M.logodds_fit(train, "text", BINARY, BINARY).materialize()
 
 
 # --- baselines --------------------------------------------------------------
@@ -71,7 +71,7 @@ def _(spark, sf):
     SELECT doc_id, round(p_quality, 6) AS p_quality, round(p_toxic, 6) AS p_toxic
     FROM (SELECT doc_id, {_PIVOT} FROM scored2 GROUP BY doc_id)"""))
 def _(spark, sf):
-    scored = M.linear_score(I.texts(spark, sf), "doc_id", "text", fit_binary(spark, sf))
+    scored = M.linear_score(I.documents(spark, sf), "doc_id", "text", fit_binary(spark, sf))
     return rounded(scored.select("doc_id", *_pair()))
 
 
@@ -84,7 +84,7 @@ def _(spark, sf):
            CASE WHEN chunks > 1 THEN chunks END AS num_chunks
     FROM documents_gaps LEFT JOIN (SELECT doc_id, max(chunks) AS chunks, {_PIVOT} FROM long2 GROUP BY doc_id) USING (doc_id)"""))
 def _(spark, sf):
-    docs = I.documents_gaps(spark, sf, spread_text=True)
+    docs = I.documents_gaps(spark, sf)
     scored = M.score_long_text(docs, "doc_id", "text", fit_binary(spark, sf))
     return rounded(scored.select("doc_id", *_pair(), F.col("primary").alias("primary_label"),
                                  F.array_join("all_labels", ",").alias("all_labels"), "num_chunks"))
@@ -103,11 +103,11 @@ _P28 = [f"coalesce(p{j}, 0)" for j in range(28)]
                       for j, x in enumerate(LABELS28))}
     FROM (SELECT *, [{', '.join(_P28)}] AS ps FROM documents_gaps LEFT JOIN long28 USING (doc_id))"""))
 def _(spark, sf):
-    gold = split_three(I.gold28(I.texts(spark, sf).select("doc_id", "text")), "doc_id")
+    gold = split_three(I.gold28(I.documents(spark, sf).select("doc_id", "text")), "doc_id")
     train = gold.where(F.col("split") == "train")
     targets = [F.array_contains("labels", F.lit(j)).cast("int") for j in range(28)]
-    model = M.logodds_fit(train, "text", targets, LABELS28)
-    return rounded(M.label_table(I.documents_gaps(spark, sf, spread_text=True), "doc_id", "text", model))
+    model = M.logodds_fit(train, "text", targets, LABELS28).materialize()
+    return rounded(M.label_table(I.documents_gaps(spark, sf), "doc_id", "text", model))
 
 
 @query("adapt_domain", sql("labels_split doc_tokens", f"""
@@ -170,7 +170,7 @@ def compare_on_test(spark, sf):
     """
     data = I.labelled_split(spark, sf)
     train, test = (data.where(F.col("split") == s) for s in ("train", "test"))
-    model = M.logodds_fit(train, "text", BINARY, BINARY)
+    model = M.logodds_fit(train, "text", BINARY, BINARY).materialize()
 
     gold = F.array(*[F.col(x) for x in BINARY])
     scored = M.score_long_text(test.select("doc_id", "text"), "doc_id", "text", model).select("doc_id", "probs")
@@ -202,34 +202,82 @@ query("compare_on_test", sql("labels_split doc_long2", f"""
            row_number() OVER (ORDER BY f1_macro DESC, model)::int AS rank FROM final"""))(compare_on_test)
 
 
-# --- spark.ml (rows and invariants only) ------------------------------------
+# --- spark.ml -----------------------------------------------------------------
+# The fitted numbers have no SQL form.  The queries return, for every row, its key
+# and gold and whether the prediction is a valid one, and whether the model beats
+# the majority class on its training rows; SQL states that all of it holds.
 
-@query("train_multilabel")
-def _(spark, sf):
+def _in_range(probs: str):
+    return F.forall(F.col(probs), lambda p: (p >= 0) & (p <= 1)) & (F.size(probs) == len(BINARY))
+
+
+def _beats_majority(scored):
+    """Adds ``beats_majority``: training accuracy of ``pred_id`` above the share of the largest class."""
+    train = scored.where(F.col("split") == "train")
+    right = train.agg(F.avg((F.col("label") == F.col("pred_id")).cast("double"))).scalar()
+    largest = train.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n") / F.sum("n")).scalar()
+    return scored.withColumn("beats_majority", right > largest)
+
+
+def train_multilabel_probs(spark, sf):
     data = I.labelled_split(spark, sf)
     model = T.train_multilabel(data.where(F.col("split") == "train"), "text", BINARY, BINARY)
-    return rounded(model.predict(data).select("doc_id", "split", *BINARY, *_pair()))
+    return model.predict(data).select("doc_id", "split", *BINARY, "probs")
+
+
+@query("train_multilabel", sql("labels_split", """
+    SELECT doc_id, split, quality, toxic, true AS in_range FROM labels_split JOIN documents USING (doc_id)"""))
+def _(spark, sf):
+    return train_multilabel_probs(spark, sf).select("doc_id", "split", *BINARY, _in_range("probs").alias("in_range"))
+
+
+_PART = f"CASE WHEN {h('{key}', "'42'")} < floor(0.2::double * 4294967296) THEN 'test' ELSE 'train' END AS split"
 
 
-@query("train_multiclass")
+@query("train_multiclass", f"""
+    SELECT vec_id, {_PART.replace('{key}', 'vec_id')}, label, true AS valid, true AS beats_majority FROM embeddings""")
 def _(spark, sf):
     rows = split_hash(I.table(spark, sf, "embeddings"), "vec_id", {"test": 0.2})
     model = T.train_multiclass(rows.where(F.col("split") == "train"), "embedding", "label", {"epochs": 30, "weight_decay": 0.0})
-    return T.predict_multiclass(rows, "embedding", model).select("vec_id", "split", "label", "pred_id")
+    scored = T.predict_multiclass(rows, "embedding", model).select("vec_id", "split", "label", "pred_id")
+    return _beats_majority(scored).select("vec_id", "split", "label", F.col("pred_id").between(0, 9).alias("valid"), "beats_majority")
 
 
-@query("tune")
+_LANGS = ["de", "en", "es", "fr"]
+
+
+@query("train_multiclass_text", f"""
+    SELECT doc_id, {_PART.replace('{key}', 'doc_id')}, (list_position({_LANGS}, lang) - 1)::int AS label, true AS valid,
+           true AS beats_majority FROM documents""")
+def _(spark, sf):
+    label = (F.array_position(F.array(*map(F.lit, _LANGS)), F.col("lang")) - 1).cast("int")
+    rows = split_hash(I.documents(spark, sf).select("doc_id", "text", label.alias("label")), "doc_id", {"test": 0.2})
+    model = T.train_multiclass(rows.where(F.col("split") == "train"), "text", "label")
+    scored = T.predict_multiclass(rows, "text", model).select("doc_id", "split", "label", "pred_id")
+    return _beats_majority(scored).select("doc_id", "split", "label", F.col("pred_id").between(0, 3).alias("valid"), "beats_majority")
+
+
+@query("tune", """
+    SELECT unnest(range(0, 10))::int AS trial, 'COMPLETE' AS state, true AS in_range,
+           ['elastic_net', 'epochs', 'standardize', 'weight_decay']::varchar AS params""")
 def _(spark, sf):
     data = I.labelled_split(spark, sf)
     train, val = (data.where(F.col("split") == s) for s in ("train", "validation"))
-    trials, _best = T.tune(train, val, "text", BINARY, n_trials=6)
-    return rounded(T.best_trials(trials).select("trial", "state", "value", F.to_json("params").alias("params")))
+    trials, _best = T.tune(train, val, "text", BINARY)
+    names = F.array_join(F.array_sort(F.map_keys("params")), ", ")
+    return T.best_trials(trials).select("trial", "state", F.col("value").between(0, 1).alias("in_range"),
+                                        F.concat(F.lit("["), names, F.lit("]")).alias("params"))
 
 
-@query("adapt_domain_trained")
-def _(spark, sf):
+def adapt_domain_probs(spark, sf):
     data = I.labelled_split(spark, sf)
     train = data.where(F.col("split") == "train")
     both = M.adapt_domain(train.where(F.col("lang") == "en"), train.where(F.col("lang") != "en"), 2.5)
     model = T.train_multilabel(both, "text", BINARY, BINARY, weight="weight")
-    return rounded(model.predict(data).select("doc_id", "lang", "split", *BINARY, *_pair()))
+    return model.predict(data).select("doc_id", "lang", "split", *BINARY, "probs")
+
+
+@query("adapt_domain_trained", sql("labels_split", """
+    SELECT doc_id, lang, split, quality, toxic, true AS in_range FROM labels_split JOIN documents USING (doc_id)"""))
+def _(spark, sf):
+    return adapt_domain_probs(spark, sf).select("doc_id", "lang", "split", *BINARY, _in_range("probs").alias("in_range"))

@@ -22,15 +22,16 @@ def _(spark, sf):
     return S.read_table(spark, path, "csv", docs.schema)
 
 
-@query("write_table", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("write_table", "SELECT event_id, user_id, event_type, value, props, epoch_us(ts) AS ts_us FROM events")
 def _(spark, sf):
-    events = I.table(spark, sf, "events").drop("ts")
+    events = I.table(spark, sf, "events")
     back = events
     for fmt, parts in (("parquet", ["event_type"]), ("json", []), ("orc", [])):
         path = new_path(spark, f"events-{fmt}")
         S.write_table(back, path, fmt, partition_by=parts)
         back = S.read_table(spark, path, fmt, events.schema)
-    return back.select("event_id", "user_id", "event_type", "value", "props")
+    # of either timestamp type; the sessions run in UTC
+    return back.select("event_id", "user_id", "event_type", "value", "props", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
 
 
 @query("write_lines", sql("documents_gaps", f"""

@@ -115,10 +115,11 @@ VIEWS = {
         FROM (SELECT model, count(*) AS n, avg((gold = pred)::int) AS accuracy FROM preds3 GROUP BY model)
         JOIN (SELECT model, avg(2 * tp / (2 * tp + fp + fn)) AS f1_macro FROM classes3 GROUP BY model) USING (model)""",
     "raw_outputs": f"""
-        SELECT doc_id AS row_id, CASE {h('doc_id', "'o'")} % 7 {_raw_cases} END AS output FROM documents""",
-    "documents_gaps": """
-        SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN NULL WHEN doc_id % 97 = 1 THEN '   ' ELSE text END AS text
+        SELECT doc_id AS row_id, coalesce(CASE {h('doc_id', "'o'")} % 8 {_raw_cases} END || chr(10) || text, text) AS output
         FROM documents""",
+    "documents_gaps": """
+        SELECT doc_id, text FROM documents
+        UNION ALL SELECT -doc_id - 1, CASE WHEN doc_id % 97 = 1 THEN '   ' END FROM documents WHERE doc_id % 97 <= 1""",
     "labels_split": f"""
         SELECT doc_id, quality, toxic, CASE WHEN r <= nt THEN 'test'
                WHEN r <= nt + ceil((n - nt) * {0.1 / 0.9!r}::double) THEN 'validation' ELSE 'train' END AS split

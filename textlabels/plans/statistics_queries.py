@@ -40,7 +40,7 @@ def _(spark, sf):
     FROM (SELECT len({words('text')}) AS v FROM documents)""")
 def _(spark, sf):
     # describe() reads its column several times: derive the numbers from the text once.
-    lengths = word_count(I.texts(spark, sf).select("doc_id", "text"), "text").select("n_words")
+    lengths = word_count(I.documents(spark, sf).select("doc_id", "text"), "text").select("n_words")
     return rounded(A.describe(materialize(lengths, "lengths"), "n_words"))
 
 
@@ -88,8 +88,10 @@ def _(spark, sf):
     return rounded(A.box_stats(I.table(spark, sf, "events"), "event_type", "value"))
 
 
-@query("profile", sql("documents_gaps", """
-    SELECT 0 AS position, 'doc_id' AS "column", 'bigint' AS type, count(doc_id) AS non_null FROM documents_gaps
-    UNION ALL SELECT 1, 'text', 'string', count(text) FROM documents_gaps"""))
+@query("profile", """
+    SELECT position, "column", type, non_null FROM (
+        SELECT unnest([0, 1, 2, 3, 4])::int AS position, unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS "column",
+               unnest(['bigint', 'string', 'string', 'string', 'bigint']) AS type,
+               unnest([count(doc_id), count(text), count(lang), count(source), count(n_chars)]) AS non_null FROM documents)""")
 def _(spark, sf):
-    return A.profile(I.documents_gaps(spark, sf))
+    return A.profile(I.documents(spark, sf).select("doc_id", "text", "lang", "source", "n_chars"))

@@ -57,30 +57,31 @@ def _(spark, sf):
 
 
 @query("chat_messages", """
-    SELECT conv_id, turn // 1000 AS segment, count(*) AS n_messages,
-           string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue,
-           string_agg('user: ' || text, chr(10) ORDER BY turn) AS prompts
-    FROM conversations GROUP BY ALL""")
+    SELECT conv_id, turn, 1::int AS n_messages, 'user: ' || text AS prompt FROM conversations""")
 def _(spark, sf):
-    turns = I.table(spark, sf, "conversations")
-    one = X.chat_messages(turns, "text").withColumn("prompt", F.col("messages")[0]["content"])
-    one = one.withColumn("prompt_role", F.col("messages")[0]["role"])
+    one = X.chat_messages(I.table(spark, sf, "conversations"), "text")
+    return one.select("conv_id", "turn", F.size("messages").alias("n_messages"), _lines("messages").alias("prompt"))
+
+
+def _lines(col: str):
+    return F.array_join(F.transform(col, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
 
-    def lines(col: str):
-        return F.array_join(F.transform(col, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
 
+@query("conversation_messages", """
+    SELECT conv_id, turn // 1000 AS segment, count(*) AS n_messages,
+           string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY ALL""")
+def _(spark, sf):
+    turns = I.table(spark, sf, "conversations")
     dialogue = X.conversation_messages(turns, "conv_id", "turn", "role", "text")
-    prompts = X.conversation_messages(one, "conv_id", "turn", "prompt_role", "prompt")
-    return (dialogue.select("conv_id", "segment", F.size("messages").cast("bigint").alias("n_messages"),
-                            lines("messages").alias("dialogue"))
-            .join(prompts.select("conv_id", "segment", lines("messages").alias("prompts")), ["conv_id", "segment"]))
+    return dialogue.select("conv_id", "segment", F.size("messages").cast("bigint").alias("n_messages"),
+                           _lines("messages").alias("dialogue"))
 
 
 @query("tokenize", f"""
     SELECT doc_id, len(t)::int AS n_tokens, array_to_string(t, ' ') AS tokens
     FROM (SELECT doc_id, {toks('text')} AS t FROM documents)""")
 def _(spark, sf):
-    return X.tokenize(I.texts(spark, sf), "text").select(
+    return X.tokenize(I.documents(spark, sf), "text").select(
         "doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -91,7 +92,7 @@ def _(spark, sf):
            string_agg(CASE WHEN i > len(ts) THEN '0' ELSE '1' END, '' ORDER BY i) AS mask
     FROM pos LEFT JOIN vocab ON vocab.token = ts[i] GROUP BY doc_id""")
 def _(spark, sf):
-    docs = I.texts(spark, sf)
+    docs = I.documents(spark, sf)
     coded = X.encode_ids(docs, "doc_id", "text", X.vocab_build(docs, "text"))
     return coded.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"),
                         F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"))
@@ -101,7 +102,7 @@ def _(spark, sf):
     SELECT token, id, freq FROM ({_VOCAB}) UNION ALL
     SELECT * FROM (VALUES {', '.join(f"('{t}', {i}::int, 0::bigint)" for i, t in enumerate(SPECIAL_TOKENS))}) AS s""")
 def _(spark, sf):
-    return X.vocab_build(I.texts(spark, sf), "text")
+    return X.vocab_build(I.documents(spark, sf), "text")
 
 
 @query("char_coverage", """
@@ -111,9 +112,9 @@ def _(spark, sf):
                  (sum(freq) OVER ())::bigint AS total
           FROM (SELECT char, count(*) AS freq FROM (SELECT unnest(string_split(text, '')) AS char FROM documents)
                 WHERE char <> '' GROUP BY char))
-    WHERE before < 0.9995::double * total""")
+    WHERE before < 1.0::double * total""")
 def _(spark, sf):
-    return rounded(X.char_coverage(I.texts(spark, sf), "text", 0.9995))
+    return rounded(X.char_coverage(I.documents(spark, sf), "text"))
 
 
 @query("assemble_corpus", sql("documents_gaps", " UNION ALL ".join(
@@ -129,7 +130,7 @@ def _(spark, sf):
 @query("chunk_tokens", sql("chunks", """
     SELECT doc_id, chunk::int AS chunk, len(tokens)::int AS n_tokens, array_to_string(tokens, ' ') AS chunk_text FROM chunks"""))
 def _(spark, sf):
-    docs = I.documents_gaps(spark, sf, spread_text=True)
+    docs = I.documents_gaps(spark, sf)
     return X.chunk_tokens(docs, "text").select(
         "doc_id", "chunk", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("chunk_text"))
 

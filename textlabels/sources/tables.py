@@ -20,15 +20,21 @@ _CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 _CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "escapeQuotes": "true", "lineSep": "\n",
               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# text formats keep time stamps to the microsecond
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 FORMATS = ("csv", "parquet", "json", "orc")
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], fmt: str, schema: T.StructType | str,
                **options: str) -> DataFrame:
-    """Load a table with a declared schema (nothing is inferred, so no extra pass)."""
+    """Load a table with a declared schema (nothing is inferred, so no extra pass).
+
+    A CSV record may span lines, so one task reads a whole file; pass
+    ``multiLine="false"`` for files with one record per line, which can be split.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
-    base = _CSV_READ if fmt == "csv" else {}
+    base = {"csv": {**_CSV_READ, **_TIMES}, "json": _TIMES}.get(fmt, {})
     return spark.read.schema(schema).format(fmt).options(**{**base, **options}).load(path)
 
 
@@ -36,7 +42,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
                 partition_by: Sequence[str] = (), **options: str) -> None:
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
-    base = _CSV_WRITE if fmt == "csv" else {}
+    base = {"csv": {**_CSV_WRITE, **_TIMES}, "json": _TIMES}.get(fmt, {})
     writer = df.write.mode(mode).format(fmt).options(**{**base, **options})
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
