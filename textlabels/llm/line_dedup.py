@@ -46,15 +46,16 @@ def selected_lines(df: DataFrame, id_col: str, text_col: str, min_run: int) -> D
 def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_run: int = MIN_RUN) -> DataFrame:
     """(id, digest, lines array<int>): the lines to delete, for every text that has some."""
     places = materialize(selected_lines(df, id_col, text_col, min_run).distinct(), "line-minima")
-    shared = places.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1").select("mark")
+    # counts are written before they are joined: both sides of the join are then dealt anew, and a hot key can be split
+    shared = materialize(places.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1").select("mark"), "line-shared")
     start = F.explode(F.sequence(F.col("low"), F.least(F.col("pos"), F.col("n") - min_run)))
     runs = materialize(
         places.join(shared, "mark").select("id", "digest", "low", "around", start.alias("start"))
         .select("id", "digest", "start", F.slice("around", F.col("start") - F.col("low") + 1, min_run).alias("run"))
         .distinct(), "line-runs")
     place = F.struct("id", "digest", "start")
-    first = (runs.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
-             .select("run", "first"))
+    first = materialize(runs.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+                        .select("run", "first"), "line-first")
     later = runs.join(first, "run").where(place != F.col("first"))
     return (later.select("id", "digest", F.explode(F.sequence("start", F.col("start") + (min_run - 1))).alias("line"))
             .groupBy("id", "digest").agg(F.collect_set("line").alias("lines")))
