@@ -339,11 +339,14 @@ def repeated_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), "id", "digest", F.octet_length("text").alias("n_bytes"),
         F.sha2("text", 256).alias("text_sha256"), _hashes(F.col("text")).alias("h"))
         .select("row", "id", "digest", "n_bytes", "text_sha256", "h.head", "h.context"), "suffix-places")
-    shared = places.select(F.explode("head").alias("head")).groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    # counts are written before they are joined: both sides of the join are then dealt anew, and a hot key can be split
+    shared = materialize(places.select(F.explode("head").alias("head")).groupBy("head").agg(F.count("*").alias("n"))
+                         .where("n > 1").select("head"), "suffix-shared")
     pair = F.posexplode(F.arrays_zip("head", "context")).alias("i", "h")
     live = materialize(places.select("row", pair).select("row", "i", "h.head", "h.context").join(shared, "head"), "suffix-live")
-    kinds = live.groupBy("head", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "i")).alias("one"))
-    varied = kinds.groupBy("head").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    kinds = materialize(live.groupBy("head", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "i")).alias("one")),
+                        "suffix-kinds")
+    varied = materialize(kinds.groupBy("head").agg(F.count("*").alias("contexts")).where("contexts > 1"), "suffix-varied")
     # a place goes into the sort once for each context, if its head has several
     sorted_ = kinds.join(varied, "head").select("one.row", "one.i", (F.col("contexts") > LARGE).alias("large"))
     twice = live.join(kinds.where("n > 1").select("head", "context"), ["head", "context"]).select("row", "i")
