@@ -32,7 +32,7 @@ THRESHOLD = 0.95
 MISSED = 0.005         # share of the pairs exactly at the threshold that no table may bring together
 SPARE_BITS = 4         # bits of a table beyond log2 of the number of vectors
 CONFIDENCE = 4.0       # standard deviations of the estimate's error that are allowed for
-BLOCK = 1024           # vectors of a bucket that one block holds
+BLOCK = 256            # vectors of a bucket that one block holds
 SEED = 20240
 
 
