@@ -9,6 +9,7 @@ probability.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ FILTERS, HIDDEN = 40, 16
 HALF = 64                      # filter steps of half a chunk: 256 bytes
 BLOCK = 1 << 14                # filter steps computed at a time
 SAMPLE_ROWS = 6000             # labelled rows the network is fitted on, at most
-ROW_CHUNKS = 4                 # chunks of a row it is fitted on, evenly spaced
-EPOCHS, BATCH, RATE = 6, 64, 2e-3
+ROW_CHUNKS = 3                 # chunks of a row it is fitted on, evenly spaced
+SHORT = (24, 240)              # bytes of the short pieces
+EPOCHS, BATCH, RATE = 8, 64, 2e-3
 THRESHOLD = 0.3
 
 Model = dict[str, np.ndarray]
@@ -44,7 +46,7 @@ def _windows(raw: np.ndarray, m: Model) -> np.ndarray:
 
 
 def pooled(raw: bytes, m: Model) -> np.ndarray:
-    """(chunks, FILTERS): largest response of every filter in every chunk of a whole text."""
+    """(chunks, FILTERS + 1): largest response of every filter in every chunk of a whole text, and how full the chunk is."""
     data = _padded(raw)
     steps = (len(data) - WIDTH) // STRIDE + 1
     halves = max(1, steps // HALF)
@@ -57,7 +59,8 @@ def pooled(raw: bytes, m: Model) -> np.ndarray:
     top = np.concatenate(tops)
     if len(top) > 1:
         top = np.maximum(top[:-1], top[1:])
-    return np.maximum(top + m["bias"], 0)
+    fill = np.full((len(top), 1), min(1.0, steps / (2 * HALF)), np.float32)
+    return np.concatenate([np.maximum(top + m["bias"], 0), fill], axis=1)
 
 
 def score(raw: bytes, m: Model) -> float:
@@ -67,11 +70,18 @@ def score(raw: bytes, m: Model) -> float:
 
 
 def spaced_chunks(raw: bytes) -> list[bytes]:
-    """At most ``ROW_CHUNKS`` chunks, evenly spaced over the whole text."""
+    """At most ``ROW_CHUNKS`` chunks, evenly spaced over the whole text, and of longer texts a short piece besides.
+
+    Short texts are rare; the pieces, of ``SHORT`` lengths, show the network what
+    short texts of either kind look like.
+    """
     span = (2 * HALF - 1) * STRIDE + WIDTH
     n = max(1, -(-(len(raw) - span) // (HALF * STRIDE)) + 1)
     starts = [min(int(c) * HALF * STRIDE, max(0, len(raw) - span)) for c in np.linspace(0, n - 1, min(n, ROW_CHUNKS))]
-    return [raw[at:at + span] for at in starts]
+    low, high = SHORT
+    size = low + zlib.crc32(raw) % (high - low)
+    middle = len(raw) // 2
+    return [raw[at:at + span] for at in starts] + ([raw[middle:middle + size]] if len(raw) > 2 * high else [])
 
 
 def fit(chunks: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Model:
@@ -81,7 +91,7 @@ def fit(chunks: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int
     y, w = labels.astype(np.float32), weights.astype(np.float32)
     scale = lambda *s: (rng.standard_normal(s) * np.sqrt(2 / s[0])).astype(np.float32)
     m: Model = {"emb": rng.standard_normal((256, DIM)).astype(np.float32), "conv": scale(WIDTH * DIM, FILTERS),
-                "bias": np.zeros(FILTERS, np.float32), "w1": scale(FILTERS, HIDDEN), "b1": np.zeros(HIDDEN, np.float32),
+                "bias": np.zeros(FILTERS, np.float32), "w1": scale(FILTERS + 1, HIDDEN), "b1": np.zeros(HIDDEN, np.float32),
                 "w2": scale(HIDDEN, 1)[:, 0], "b2": np.zeros(1, np.float32)}
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     step = 0
@@ -98,7 +108,8 @@ def fit(chunks: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int
             top = np.maximum.reduceat(act, starts, axis=0)
             where = np.stack([starts[i] + act[starts[i]:starts[i] + counts[i]].argmax(axis=0) for i in range(len(parts))])
             z = top + m["bias"]
-            p1 = np.maximum(z, 0)
+            fill = np.minimum(1, counts / (2 * HALF)).astype(np.float32)
+            p1 = np.concatenate([np.maximum(z, 0), fill[:, None]], axis=1)
             a1 = p1 @ m["w1"] + m["b1"]
             h = np.maximum(a1, 0)
             p = 1 / (1 + np.exp(-np.clip(h @ m["w2"] + m["b2"], -30, 30)))
@@ -107,7 +118,7 @@ def fit(chunks: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int
             g["w2"], g["b2"] = h.T @ d, d.sum(keepdims=True)
             dh = d[:, None] * m["w2"] * (a1 > 0)
             g["w1"], g["b1"] = p1.T @ dh, dh.sum(0)
-            dz = (dh @ m["w1"].T) * (z > 0)
+            dz = (dh @ m["w1"].T)[:, :-1] * (z > 0)
             g["bias"] = dz.sum(0)
             best = win[where]                                   # (batch, FILTERS, WIDTH * DIM)
             g["conv"] = np.einsum("bf,bfk->kf", dz, best)
@@ -147,7 +158,7 @@ def pack(m: Model) -> bytes:
 
 
 def unpack(raw: bytes) -> Model:
-    shapes = {"emb": (256, DIM), "conv": (WIDTH * DIM, FILTERS), "bias": (FILTERS,), "w1": (FILTERS, HIDDEN),
+    shapes = {"emb": (256, DIM), "conv": (WIDTH * DIM, FILTERS), "bias": (FILTERS,), "w1": (FILTERS + 1, HIDDEN),
               "b1": (HIDDEN,), "w2": (HIDDEN,), "b2": (1,)}
     out, at = {}, 0
     for k in sorted(shapes):
@@ -185,7 +196,7 @@ def train(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_co
     packed = sample.repartition(1).mapInArrow(run, "model binary").collect()
     if packed:
         return unpack(bytes(packed[0]["model"]))
-    size = sum(int(np.prod(s)) for s in ((256, DIM), (WIDTH * DIM, FILTERS), (FILTERS,), (FILTERS, HIDDEN), (HIDDEN,), (HIDDEN,), (1,)))
+    size = sum(int(np.prod(s)) for s in ((256, DIM), (WIDTH * DIM, FILTERS), (FILTERS,), (FILTERS + 1, HIDDEN), (HIDDEN,), (HIDDEN,), (1,)))
     return unpack(np.zeros(size, "<f4").tobytes())
 
 
