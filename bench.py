@@ -15,6 +15,7 @@ import time
 from pyspark.sql import SparkSession
 
 from textlabels.plans import QUERIES
+from textlabels.sources.workspace import release
 
 
 def main() -> None:
@@ -39,6 +40,7 @@ def main() -> None:
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}), flush=True)
+    release(spark)
     spark.stop()
 
 

@@ -235,6 +235,37 @@ def _(spark, sf):
     return C.error_counts(I.preds3(spark, sf), "published", "custom_a")
 
 
+_BEST = """
+    best AS (SELECT model FROM metrics3 WHERE NOT contains(model, 'published') ORDER BY f1_macro DESC, model LIMIT 1)"""
+
+
+def _best_and_baseline(spark, sf):
+    """The predictions, and the names of the best model and of the first baseline (one row)."""
+    preds = I.preds3(spark, sf)
+    return preds, C.best_model(C.model_metrics(preds), "published").first()
+
+
+@query("best_model_confusions", sql("metrics3", f"""
+    WITH {_BEST} SELECT model, gold, pred, count(*) AS n FROM preds3 JOIN best USING (model) WHERE gold <> pred
+    GROUP BY ALL ORDER BY n DESC, gold, pred LIMIT 10"""))
+def _(spark, sf):
+    """What the model found best mixes up."""
+    preds, names = _best_and_baseline(spark, sf)
+    mine = preds.where(F.col("model") == names["best_model"])
+    return E.confused_pairs(mine).select(F.lit(names["best_model"]).alias("model"), "gold", "pred", "n")
+
+
+@query("best_model_outcomes", sql("metrics3", f"""
+    WITH {_BEST} SELECT CASE WHEN b.pred = b.gold AND c.pred = b.gold THEN 'both_correct' WHEN c.pred = b.gold THEN 'improvement'
+                  WHEN b.pred = b.gold THEN 'regression' ELSE 'persistent' END AS category, count(*) AS n
+    FROM (SELECT * FROM preds3 WHERE model = 'published') b JOIN (SELECT * FROM preds3 JOIN best USING (model)) c USING (row_id)
+    GROUP BY 1"""))
+def _(spark, sf):
+    """Where the model found best differs from the baseline."""
+    preds, names = _best_and_baseline(spark, sf)
+    return C.error_counts(preds, names["baseline_model"], names["best_model"])
+
+
 @query("running_best", """
     SELECT user_id, event_id, round(value, 6) AS value, round(previous_best, 6) AS previous_best,
            value = max(value) OVER (PARTITION BY user_id) AS chosen
