@@ -78,6 +78,25 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"))
 
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, md5(substr(h, 2 * s + 1, 400)) AS m FROM (SELECT r, h, unnest(generate_series(0, len(h) // 2 - 200)) AS s FROM d)),
+twice AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+marked AS (SELECT r, s, s > lag(s) OVER (PARTITION BY r ORDER BY s) + 200 AS gap FROM w SEMI JOIN twice USING (m)),
+islands AS (
+  SELECT r, min(s) AS a, max(s) + 200 AS b
+  FROM (SELECT r, s, sum(coalesce(gap, false)::int) OVER (PARTITION BY r ORDER BY s) AS k FROM marked) GROUP BY r, k),
+cuts AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS lo, a AS hi FROM islands
+  UNION ALL SELECT r, max(b), (SELECT len(h) // 2 FROM d WHERE d.r = islands.r) FROM islands GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS k FROM cuts JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM islands GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
@@ -135,6 +154,52 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
 """
 
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join(repr(tuple(r)) for r in rows) + ")"
+
+
+_VOCABULARY = sorted({w for _, phrase, text in license_scan.TEMPLATES for w in f"{phrase} {text}".split()}
+                     - set(license_scan.FUNCTION_WORDS) | {w for _, p in license_scan.BASE_PHRASES for w in p.split()})
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS_SQL} AS w FROM documents),
+p AS (SELECT * FROM (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d) WHERE term IN {tuple(_VOCABULARY)!r}),
+base AS (
+  SELECT label, r, pos - off AS start FROM p JOIN {_values(
+      (no, label, i, len(p.split()), w) for no, (label, p) in enumerate(license_scan.BASE_PHRASES) for i, w in enumerate(p.split()))}
+      AS b(no, label, off, size, term) USING (term) GROUP BY no, label, size, r, pos - off HAVING count(*) = size),
+template AS (SELECT * FROM {_values(
+    (no, label, i, w) for no, (label, _, text) in enumerate(license_scan.TEMPLATES) for i, w in enumerate(text.split())
+    if w not in license_scan.FUNCTION_WORDS)} AS t(no, label, place, term)),
+held AS (SELECT DISTINCT r, term FROM p),
+idf AS (SELECT term, round(ln(((SELECT count(*) FROM d) + 1.0::double) / count(*)), 6) AS idf FROM held GROUP BY term),
+top AS (SELECT r, term, idf FROM held JOIN idf USING (term)
+        QUALIFY row_number() OVER (PARTITION BY r ORDER BY idf DESC, term) <= 8),
+met AS (
+  SELECT no, label, r, shift, sum(idf) AS weight
+  FROM (SELECT DISTINCT no, label, r, pos - place AS shift, term, idf FROM p JOIN top USING (r, term) JOIN template USING (term))
+  GROUP BY ALL HAVING count(*) >= 2),
+most AS (
+  SELECT no, sum(idf) AS most
+  FROM (SELECT no, idf FROM (SELECT DISTINCT no, term FROM template) JOIN idf USING (term)
+        QUALIFY row_number() OVER (PARTITION BY no ORDER BY idf DESC, term) <= 8) GROUP BY no),
+verified AS (
+  SELECT no, r, pos - off AS shift FROM p JOIN {_values(
+      (no, len(text.partition(phrase)[0].split()) + i, len(phrase.split()), w)
+      for no, (_, phrase, text) in enumerate(license_scan.TEMPLATES) for i, w in enumerate(phrase.split()))}
+      AS k(no, off, size, term) USING (term) GROUP BY no, size, r, pos - off HAVING count(*) = size),
+aligned AS (
+  SELECT r, label, least(1.0::double, round(weight / most, 6)) AS score
+  FROM met JOIN verified USING (no, r, shift) JOIN most USING (no)),
+bases AS (SELECT r, count(*) AS n, min(start) AS a, max(start) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY r),
+everything AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(score) AS score
+  FROM (SELECT r, label, 0.5::double AS score FROM base UNION ALL SELECT r, label, score FROM aligned) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
+       coalesce(bases.l, '') AS base_labels, coalesce(everything.l, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN bases USING (r) LEFT JOIN everything USING (r)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -149,6 +214,8 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op3_url_rules": OP3_SQL,
+    "op7_license_scan": OP7_SQL,
+    "op8_suffix_dedup": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
 }
