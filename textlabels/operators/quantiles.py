@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from textlabels.functions.columns import join_null_safe
 
-ACCURACY = 10_000
+ACCURACY = 200_000      # a block that is ordered holds about 4 / ACCURACY of the rows
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
