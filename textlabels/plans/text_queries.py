@@ -46,12 +46,21 @@ def _(spark, sf):
     return X.first_line(I.raw_outputs(spark, sf), "output").select("row_id", "line")
 
 
-_HEAD, _TAIL = X.prompt_template().split("{input}")
-_HEAD_SQL, _TAIL_SQL = (text_list([s])[1:-1] for s in (_HEAD, _TAIL))
-
-
-@query("build_prompt", f"""
-    SELECT conv_id, turn, {_HEAD_SQL} || coalesce(text, '') || {_TAIL_SQL} AS prompt FROM conversations""")
+# The template once more, independent of the operator under test.
+_PROMPT_SQL = """
+    WITH allowed AS (
+        SELECT 'admiration,amusement,anger,annoyance,approval,caring,confusion,curiosity,desire,disappointment,disapproval,disgust,'
+            || 'embarrassment,excitement,fear,gratitude,grief,joy,love,nervousness,optimism,pride,realization,relief,remorse,sadness,'
+            || 'surprise,neutral' AS a),
+    shots AS (SELECT * FROM (VALUES (1, 'I''ve never felt worse.', 'sadness'), (2, 'This is the best day ever!', 'joy'),
+                                    (3, 'Wow! I can''t believe it!', 'surprise'), (4, 'That''s so rude!', 'anger')) AS t(i, s, e)),
+    head AS (SELECT string_agg('Sentence: "' || s || '"' || chr(10) || 'Allowed emotions: ' || a || chr(10) || 'Emotion = ' || e
+                               || chr(10) || chr(10), '' ORDER BY i) AS h FROM shots, allowed)
+    SELECT conv_id, turn, h || 'Sentence: "' || coalesce(text, '') || '"' || chr(10) || 'Allowed emotions: ' || a || chr(10)
+           || 'Emotion =' AS prompt FROM conversations, head, allowed"""
+
+
+@query("build_prompt", _PROMPT_SQL)
 def _(spark, sf):
     return X.build_prompt(I.table(spark, sf, "conversations"), "text").select("conv_id", "turn", "prompt")
 
