@@ -63,6 +63,7 @@ def session(cpus: str = "8") -> SparkSession:
 
 def main() -> int:
     from textlabels.plans import QUERIES, SQL
+    from textlabels.sources.workspace import release
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     chosen = sys.argv[2:] or list(QUERIES)
     spark, con, bad = session(), connect(sf_dir), 0
@@ -79,6 +80,7 @@ def main() -> int:
         bad += bool(found)
         print(f"{'FAIL' if found else 'ok  '} {name} {time.time() - start:.2f}s", *found, sep="\n     " if found else " ", flush=True)
     print(f"{len(chosen) - bad} of {len(chosen)} agree")
+    release(spark)
     return 1 if bad else 0
 
 

@@ -127,6 +127,44 @@ def _(spark, sf):
     return rounded(model.weights.select("token", *[F.col(f"w{k}").alias(f"w_{x}") for k, x in enumerate(BINARY)]))
 
 
+@query("adaptation_report", sql("labels_split", f"""
+    WITH rows AS MATERIALIZED (
+        SELECT doc_id, token, quality, toxic, lang, split
+        FROM (SELECT doc_id, lang, unnest(list_distinct({toks('text')})) AS token FROM documents) JOIN labels_split USING (doc_id)),
+    models AS (SELECT * FROM (VALUES ('adapted', 2.5::double), ('source', 0.0::double)) AS t(model, other)),
+    weighted AS (SELECT model, token, doc_id, quality, toxic, CASE WHEN lang = 'en' THEN 1.0::double ELSE other END AS w
+                 FROM rows CROSS JOIN models WHERE split = 'train'),
+    n AS (SELECT model, sum(w) AS n, sum(w * quality) AS nq, sum(w * toxic) AS nt
+          FROM (SELECT DISTINCT model, doc_id, quality, toxic, w FROM weighted) GROUP BY model),
+    weights AS (
+        SELECT model, token, ln((cq + 1) / (nq + 2)) - ln((df - cq + 1) / (n - nq + 2)) AS wq,
+               ln((ct + 1) / (nt + 2)) - ln((df - ct + 1) / (n - nt + 2)) AS wt
+        FROM (SELECT model, token, sum(w) AS df, sum(w * quality) AS cq, sum(w * toxic) AS ct FROM weighted WHERE w > 0 GROUP BY ALL)
+        JOIN n USING (model)),
+    scored AS (
+        SELECT model, doc_id, quality, toxic, max(ln((nq + 1) / (n - nq + 1))) + sum(coalesce(wq, 0)) / count(*) AS zq,
+               max(ln((nt + 1) / (n - nt + 1))) + sum(coalesce(wt, 0)) / count(*) AS zt
+        FROM (SELECT * FROM rows CROSS JOIN models WHERE split = 'test' AND lang <> 'en') LEFT JOIN weights USING (model, token)
+        JOIN n USING (model) GROUP BY model, doc_id, quality, toxic)
+    SELECT model, count(*) AS n, round(avg(((zq > 0)::int = quality)::int), 6) AS accuracy_quality,
+           round(avg(((zt > 0)::int = toxic)::int), 6) AS accuracy_toxic FROM scored GROUP BY model"""))
+def _(spark, sf):
+    """The model of the source rows and the adapted one, side by side on held-out rows of the target."""
+    data = I.labelled_split(spark, sf)
+    train, held_out = data.where(F.col("split") == "train"), data.where((F.col("split") == "test") & (F.col("lang") != "en"))
+    source = train.where(F.col("lang") == "en")
+    both = M.adapt_domain(source, train.where(F.col("lang") != "en"), 2.5)
+    models = {"source": M.logodds_fit(source, "text", BINARY, BINARY),
+              "adapted": M.logodds_fit(both, "text", BINARY, BINARY, weight="weight")}
+    gold, out = held_out.select("doc_id", *BINARY), None
+    for name, model in models.items():
+        scored = M.linear_score(held_out, "doc_id", "text", model.materialize()).join(gold, "doc_id")
+        right = {x: F.avg(((F.get("probs", F.lit(k)) > EVAL_THRESHOLD).cast("int") == F.col(x)).cast("double")) for k, x in enumerate(BINARY)}
+        row = scored.agg(F.lit(name).alias("model"), F.count("*").alias("n"), *[v.alias(f"accuracy_{x}") for x, v in right.items()])
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
 # --- plug-in model ----------------------------------------------------------
 
 # A 64 x 10 weight matrix given by a rule, so that SQL can repeat it.
