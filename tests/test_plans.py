@@ -35,6 +35,17 @@ def test_scoring_shuffles_one_row_per_text_or_chunk(spark):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
+def test_scoring_without_broadcasts_reads_no_text_twice(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("linear_score", "score_long_text"):
+            text = plan(QUERIES[name](spark, SF_DIR))
+            # the text was read once, for the partial sums; what follows works on those
+            assert "TakeOrderedAndProject" not in text and "documents.parquet" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_error_cases_limit_before_the_text_join(spark):
     text = plan(QUERIES["error_cases"](spark, SF_DIR))
     assert text.count("WindowGroupLimit") == 2
