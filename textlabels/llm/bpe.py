@@ -21,12 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from textlabels.llm.common import tidy
+
 # White space is spelled out: the tokenizer's \s is the Unicode property White_Space.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _SPLIT = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+"
           rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-CACHE_WORDS = 500_000      # words a worker remembers; then only those of the present block stay
-BLOCK_BYTES = 8 << 20      # text encoded at a time
+CACHE_WORDS = 200_000      # words a worker remembers; then only those of the present block stay
+BLOCK_BYTES = 2 << 20      # text encoded at a time
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -287,5 +289,6 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, path: str) -> DataF
                 decoded = pa.array([own.decode(x.tolist()) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded],
                                                  names=[id_col, "ids", "decoded"])
+            tidy()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

@@ -40,6 +40,11 @@ def ascii_id_list(ids: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(ids, lambda x: x.cast("string"))), ",")
 
 
+def tidy() -> None:
+    """Give freed Arrow memory back; a worker that waits for its next stage should hold little."""
+    pa.default_memory_pool().release_unused()
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut a stream of batches sorted by ``keys`` into tables that end where a key ends.
 

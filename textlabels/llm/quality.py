@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlabels.llm.common import tidy
+
 
 DIM, WIDTH, STRIDE = 8, 8, 4
 FILTERS, HIDDEN = 40, 16
@@ -209,6 +211,7 @@ def scorer(m: Model):
         own = unpack(packed)
         for texts in batches:
             yield pa.array([score((t.as_py() or "").encode(), own) for t in texts], pa.float64())
+            tidy()
 
     return probability
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlabels.llm.common import materialize, run_starts
+from textlabels.llm.common import materialize, run_starts, tidy
 from textlabels.llm.components import connected_components
 
 RADIUS = 3
@@ -72,8 +72,10 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 @F.arrow_udf(T.LongType())
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
+def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
+        tidy()
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
