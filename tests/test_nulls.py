@@ -36,3 +36,15 @@ def test_rows_that_one_model_predicted_are_counted(spark):
                                   "model string, row_id int, gold string, pred string")
     got = {r.category: r.n for r in C.error_counts(preds, "x", "y").collect()}
     assert got == {"both_correct": 1, "regression": 1, "improvement": 1, "persistent": 1}
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1, nan), ("a", 2, 1.0), ("a", 3, 3.0), ("a", 4, nan)], "k string, t int, v double")
+    row = A.describe(df, "v").first()
+    assert (row["count"], row["mean"], row["min"], row["q50"], row["max"]) == (2, 2.0, 1.0, 2.0, 3.0)
+    assert [(r.n, r.q50, r.max) for r in A.box_stats(df, "k", "v").collect()] == [(2, 2.0, 3.0)]
+    assert [r.mean_value for r in A.group_mean(df, "k", "v").collect()] == [2.0]
+    assert sum(r.n for r in A.histogram(df, "v", 4).collect()) == 2
+    assert sorted((r.t, r.chosen) for r in C.running_best(df, "k", ["t"], "v").collect()) == [(2, False), (3, True)]
+    assert [(r.best_value, r.t) for r in C.best_epoch(df, "k", ["t"], "v").collect()] == [(3.0, 3)]

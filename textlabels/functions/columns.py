@@ -103,3 +103,9 @@ def join_null_safe(left, right, keys, how: str = "inner"):
     held = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
     return left.join(held, on, how).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
+def without_nan(df, col: str):
+    """NaN in a floating-point column becomes null, that is, missing."""
+    kind = df.schema[col].dataType.simpleString()
+    return df.withColumn(col, F.nanvl(F.col(col), F.lit(None).cast(kind))) if kind in ("double", "float") else df

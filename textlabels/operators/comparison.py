@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textlabels.functions.constants import LABELS28
 from textlabels.operators.metrics import class_counts, confusion_counts, f1_per_class
-from textlabels.functions.columns import f1, join_null_safe
+from textlabels.functions.columns import f1, join_null_safe, without_nan
 
 
 def model_metrics(preds: DataFrame, model: str = "model", gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -169,9 +169,9 @@ def running_best(df: DataFrame, run: str, order: Sequence[str], value: str, bloc
     decreases along ``order``: the run is then worked on block by block, with
     the best of all earlier blocks carried in from a table of block maxima, so
     a run that holds a large share of all rows is spread over many tasks.  A
-    null run is a run, a null block comes before all others.
+    null run is a run, a null block comes before all others; NaN is no value.
     """
-    rows = df.withColumn("_block", F.lit(0) if block is None else block)
+    rows = without_nan(df.withColumn("_block", F.lit(0) if block is None else block), value)
     within = (Window.partitionBy(run, "_block").orderBy(*order)
                     .rowsBetween(Window.unboundedPreceding, -1))
     earlier = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -188,7 +188,7 @@ def running_best(df: DataFrame, run: str, order: Sequence[str], value: str, bloc
 
 
 def best_epoch(df: DataFrame, run: str, order: Sequence[str], value: str) -> DataFrame:
-    """First row with the maximum value, per run; combines map-side, so a hot run is no problem."""
+    """First row with the maximum value, per run (NaN is no value); combines map-side, so a hot run is no problem."""
     best = F.min(F.struct((-F.col(value)).alias("neg"), *order))
-    return (df.where(F.col(value).isNotNull()).groupBy(run).agg(best.alias("b"))
+    return (without_nan(df, value).where(F.col(value).isNotNull()).groupBy(run).agg(best.alias("b"))
               .select(run, (-F.col("b.neg")).alias("best_value"), *[F.col(f"b.{c}") for c in order]))

@@ -20,15 +20,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlabels.functions.columns import join_null_safe
+from textlabels.functions.columns import join_null_safe, without_nan
 
 ACCURACY = 200_000      # a block that is ordered holds about 4 / ACCURACY of the rows
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """``keys`` + ``q0, q1, ...`` (double), one per entry of ``probs``; null values are ignored, null keys are a group."""
+    """``keys`` + ``q0, q1, ...`` (double), one per entry of ``probs``; null and NaN values are ignored, null keys are a group."""
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    rows = without_nan(df, value).where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
 
     margin = 2.0 / ACCURACY
     places = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})

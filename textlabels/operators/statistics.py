@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlabels.functions.constants import LABELS28
-from textlabels.functions.columns import join_null_safe, label_array
+from textlabels.functions.columns import join_null_safe, label_array, without_nan
 from textlabels.operators.metrics import label_table
 from textlabels.operators.quantiles import exact_quantiles
 
@@ -46,10 +46,11 @@ def mean_probs(df: DataFrame, probs: str, labels: Sequence[str] = LABELS28, mini
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """One row: count, mean, sample std, min, quartiles (linear interpolation), max.
+    """One row: count, mean, sample std, min, quartiles (linear interpolation), max; NaN counts as missing.
 
     The column is read several times; if it is derived from long texts, write it to a table first.
     """
+    df = without_nan(df, col)
     moments = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
                      F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
     quart = exact_quantiles(df, [], col, QUARTILES).agg(
@@ -60,7 +61,8 @@ def describe(df: DataFrame, col: str) -> DataFrame:
 
 
 def group_mean(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean value per key, ascending."""
+    """Mean value per key, ascending; NaN counts as missing."""
+    df = without_nan(df, value)
     return df.groupBy(key).agg(F.avg(value).alias("mean_value")).orderBy("mean_value", key)
 
 
@@ -85,6 +87,7 @@ def grouped_accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred") -> D
 
 def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
     """Counts in equal-width bins from min to max; the last bin is closed, empty bins are listed with 0."""
+    df = without_nan(df, col)
     value = F.col(col).cast("double")
     edges = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(
         F.struct("lo", ((F.col("hi") - F.col("lo")) / bins).alias("w")).alias("e"))
@@ -99,6 +102,7 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Minimum, quartiles and maximum per group; a null key is a group, a group without values has nulls."""
+    df = without_nan(df, value)
     quart = exact_quantiles(df, [key], value, QUARTILES)
     ends = df.groupBy(key).agg(
         F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"),
