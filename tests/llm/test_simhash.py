@@ -111,3 +111,37 @@ def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 200), (7, 7), (None, 5)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert found == {**{i: 1 for i in range(2, 41)}, **{100 + i: 100 for i in range(1, 50)}, 300: 200}
+
+
+def _chain(n):
+    return [(i, i + 1) for i in range(1, n)]
+
+
+def _tree(n, seed):
+    rng = random.Random(seed)
+    names = rng.sample(range(1, 10 * n), n)
+    return [(names[i], names[rng.randrange(max(0, i - 3), i)]) for i in range(1, n)]
+
+
+@pytest.mark.parametrize("edges", [_chain(6), _chain(20), _chain(100), _tree(60, 1), _tree(60, 2), _tree(60, 3)])
+def test_components_hold_every_node_once(spark, edges):
+    first = min(min(e) for e in edges)
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, found)) == sorted((n, first) for n in {n for e in edges for n in e} - {first})
+
+
+def test_a_long_chain_of_links_returns_every_row_once(spark, monkeypatch):
+    """Fingerprints and vectors linked in a chain: op6 and op4 return as many rows as they were given."""
+    import math
+
+    from pyspark.sql import functions as F
+    from textlabels.llm import embedding_dedup
+
+    fps = [sum(1 << (b % 62) for b in range(2 * i)) for i in range(30)]          # neighbours differ in 2 bits
+    monkeypatch.setattr(S, "_fingerprints", lambda text: F.col("doc_id") * 0 + F.col("text").cast("long"))
+    docs = spark.createDataFrame([(i, str(x)) for i, x in enumerate(fps)], "doc_id long, text string")
+    got = S.near_duplicates(docs, "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0) for i in range(30)]
+    vectors = [(i, [math.cos(0.25 * i), math.sin(0.25 * i)]) for i in range(20)]  # neighbours: cosine 0.969, next but one 0.878
+    got = embedding_dedup.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    assert sorted((r.vec_id, r.component_id) for r in got) == [(i, 0) for i in range(20)]
