@@ -66,3 +66,21 @@ def test_base_places_against_brute_force(frame):
 def test_no_files_and_no_python(frame):
     assert L.scan(frame([]), "doc_id", "text").collect() == []
     assert "Python" not in L.scan(frame([(1, "mit license")]), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_with_several_notices(frame):
+    """Every notice of a text is found, whichever words are rarer and however many other licence words the text has."""
+    notices = {f"{label} {no}": (label, text) for no, (label, _, text) in enumerate(L.TEMPLATES)}
+    rows, want, i = [], {}, 0
+    for a, (la, ta) in notices.items():
+        for b, (lb, tb) in notices.items():
+            rows.append((i, f"{ta} . and {tb}"))
+            want[i], i = {la, lb}, i + 1
+    words_of = sorted({w for _, _, t in L.TEMPLATES for w in t.split()} - set(L.FUNCTION_WORDS))
+    for label, text in notices.values():
+        rows.append((i, " x ".join(words_of) + " x " + text))
+        want[i], i = {label}, i + 1
+    rows += [(i + k, "licensed under cc by nc 4 0 in version 3") for k in range(30)]     # makes its words the more common ones
+    got = {r.doc_id: r for r in L.scan(frame(rows), "doc_id", "text").collect()}
+    assert all(want[k] <= set(got[k].labels.split(",")) for k in want)
+    assert all(got[k].score == 1 for k in want)

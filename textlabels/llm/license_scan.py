@@ -1,11 +1,11 @@
 """License scan with a positional index of rare license words.
 
 The places of the words that license notices use (function words apart) are
-indexed for all files.  Of the words a file has, those with the highest IDF over
-all files are looked up in the postings of the notice templates; places that
-agree on the distance between file and template support one alignment.  An
-aligned template counts once its mandatory phrase stands, word for word, where
-the alignment has it.  Only DataFrame operations are used.
+indexed for all files.  Every place where a template's mandatory phrase stands,
+word for word, is one alignment of file and template; all words of the template
+are looked up where the alignment has them.  It counts once different words
+agree, and is scored by its words of highest IDF over all files.  Only DataFrame
+operations are used.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ TEMPLATES = [
 ]
 # Words of the templates that are not indexed.
 FUNCTION_WORDS = "a and any are as for in is it may not of or that the this to under use with you work".split()
-LOOKED_UP = 8           # highest-IDF license words of a file that are looked up
+WEIGHED = 8             # highest-IDF words of an alignment, and of its template, that the score weighs
 LEAST_MET = 2           # different words that have to agree on an alignment
 BASE_SCORE = 0.5        # score of a file with a base phrase, at least
 
@@ -67,25 +67,25 @@ def alignments(postings: DataFrame, n_docs: Column | int, templates: list[tuple]
     table = spark.createDataFrame(rows, "no int, label string, at int, term string")
     held = postings.groupBy("doc", "term").agg(F.count("*").alias("n"))
     idf = materialize(held.groupBy("term").agg(F.round(F.log((n_docs + 1.0) / F.count("*")), 6).alias("idf")), "license-idf")
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("idf"), "term"))
-    top = (held.join(F.broadcast(idf), "term").withColumn("rank", rank).where(F.col("rank") <= LOOKED_UP)
-           .select("doc", "term", "idf"))
-    met = (postings.join(top, ["doc", "term"]).join(F.broadcast(table), "term")
-           .select("no", "label", "doc", (F.col("pos") - F.col("at")).alias("shift"), "term", "idf").distinct()
+    # words of a template before its mandatory phrase
+    keys = spark.createDataFrame([(no, len(text.partition(phrase)[0].split())) for no, (_, phrase, text) in enumerate(templates)],
+                                 "no int, key_at int")
+    verified = (phrase_places(postings, [(label, phrase) for label, phrase, _ in templates]).join(F.broadcast(keys), "no")
+                .select("no", "label", "doc", (F.col("start") - F.col("key_at")).alias("shift")))
+    # all words of the template, where the alignment has them
+    wanted = verified.join(F.broadcast(table.drop("label").join(F.broadcast(idf), "term")), "no").withColumn("pos", F.col("shift") + F.col("at"))
+    total = lambda idfs: F.aggregate(
+        F.slice(F.sort_array(idfs, asc=False), 1, WEIGHED), F.lit(0).cast("decimal(30,6)"), lambda s, x: (s + x).cast("decimal(30,6)"))
+    met = (wanted.join(postings, ["doc", "pos", "term"]).select("no", "label", "doc", "shift", "term", "idf").distinct()
            .groupBy("no", "label", "doc", "shift")
-           .agg(F.count("*").alias("words"), F.sum(F.col("idf").cast("decimal(20,6)")).alias("weight"))
+           .agg(F.count("*").alias("words"), total(F.collect_list(F.col("idf").cast("decimal(20,6)"))).alias("weight"))
            .where(F.col("words") >= LEAST_MET))
     # the most a template can gather: its own highest-IDF words
     best = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("idf"), "term"))
     most = (table.select("no", "term").distinct().join(F.broadcast(idf), "term").withColumn("rank", best)
-            .where(F.col("rank") <= LOOKED_UP).groupBy("no").agg(F.sum(F.col("idf").cast("decimal(20,6)")).alias("most")))
-    # words of a template before its mandatory phrase
-    keys = spark.createDataFrame([(no, len(text.partition(phrase)[0].split())) for no, (_, phrase, text) in enumerate(templates)],
-                                 "no int, key_at int")
-    verified = phrase_places(postings, [(label, phrase) for label, phrase, _ in templates]).join(F.broadcast(keys), "no")
+            .where(F.col("rank") <= WEIGHED).groupBy("no").agg(F.sum(F.col("idf").cast("decimal(20,6)")).alias("most")))
     score = F.least(F.lit(1.0), F.round((F.col("weight") / F.col("most")).cast("double"), 6))
-    return (met.join(verified.select("no", "doc", (F.col("start") - F.col("key_at")).alias("shift")), ["no", "doc", "shift"])
-            .join(F.broadcast(most), "no").select("no", "label", "doc", "shift", score.alias("score")))
+    return met.join(F.broadcast(most), "no").select("no", "label", "doc", "shift", score.alias("score"))
 
 
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,7 +94,7 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n_base counts all places of the base phrases, first_word and last_word are
     their smallest and largest start (null without any).  ``labels`` adds those
     of the verified templates.  ``score`` is the share of a template's rare
-    weight that is aligned, the largest over its templates, at least
+    weight that is aligned (the highest-IDF words of both), the largest over its templates, at least
     ``BASE_SCORE`` with a base phrase, 0 without any label.  A null text counts as
     empty.  Rows that repeat an id, and null ids, are all returned; further
     columns are not read.
