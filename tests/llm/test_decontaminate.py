@@ -67,3 +67,16 @@ def test_proximity(spark, frame):
 def test_plans_have_no_python(spark, frame):
     index = D.build_index(frame([(1, "a")]), "doc_id", "text", spark.createDataFrame([("a", 1)], "term string, term_id long"))
     assert "Python" not in index._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_without_an_id_count(spark, frame):
+    """An item with a null id that occurs covers words, makes a document contaminated and counts as one item without a name."""
+    item, other = "one two three four five six seven", "red green blue"
+    docs = [(1, item), (2, f"x {other} y"), (3, f"{item} {other}"), (4, "nothing of it")]
+    items = [(None, item), (None, other), (7, other)]
+    assert sorted(run(spark, frame, docs, items, 5)) == sorted(slow(docs, items, 5))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.report(D.scan(frame(docs), "doc_id", "text", bench, "item_id", "text", 5), "doc_id").collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in got) == [(1, 7, 1, True), (2, 3, 2, True), (3, 10, 2, True), (4, 0, 0, False)]
+    kept = D.drop_contaminated(frame(docs), "doc_id", "text", bench, "item_id", "text").collect()
+    assert [r.doc_id for r in kept] == [4]

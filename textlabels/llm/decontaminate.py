@@ -27,10 +27,13 @@ def _small(df: DataFrame, size: Column) -> DataFrame:
 
 
 def query_terms(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, n, pos, term): the words of every item that has words, written once."""
+    """(item, item_id, n, pos, term): the words of every item that has words, written once.
+
+    ``item`` numbers the different (id, words); it is never null.
+    """
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("w")).distinct()
-    return materialize(items.select("item_id", F.xxhash64("w").alias("version"), F.size("w").alias("n"),
-                                    F.posexplode("w").alias("pos", "term")), "query-terms")
+    return materialize(items.withColumn("item", F.monotonically_increasing_id())
+                       .select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "term")), "query-terms")
 
 
 def build_index(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame) -> DataFrame:
@@ -50,9 +53,9 @@ def build_index(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame
 
 
 def phrase_matches(index: DataFrame, terms: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(item_id, version, doc, start, size): where a window of an item stands word for word.
+    """(item, doc, start, size): where a window of an item stands word for word.
 
-    ``terms`` is (item_id, version, n, pos, term_id).  A window is ``window``
+    ``terms`` is (item, n, pos, term_id).  A window is ``window``
     consecutive words of an item, or all of its words if it has fewer.
     """
     postings = index.where(F.col("term_id").isNotNull()).select("doc", "term_id", "pos")
@@ -60,37 +63,37 @@ def phrase_matches(index: DataFrame, terms: DataFrame, window: int = WINDOW, rar
     known = terms.join(df_of, "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     size = F.least(F.col("n"), F.lit(window))
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - size + 1), F.least(F.col("pos"), F.col("n") - size)))
-    in_window = known.select("item_id", "version", "pos", "term_id", "df", size.alias("size"), starts.alias("first"))
-    w = Window.partitionBy("item_id", "version", "first")
+    in_window = known.select("item", "pos", "term_id", "df", size.alias("size"), starts.alias("first"))
+    w = Window.partitionBy("item", "first")
     ranked = materialize(
         in_window.withColumn("least", F.min("df").over(w)).where("least > 0")      # else a term is in no document
         .withColumn("rank", F.row_number().over(w.orderBy("df", "pos"))), "windows")
     # windows with the same rarest places share one look-up
     anchors = ranked.where(F.col("rank") <= rarest)
-    sets = anchors.groupBy("item_id", "version", "first").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    keyed = anchors.join(sets, ["item_id", "version", "first"])
-    lookups = keyed.select("item_id", "version", "places", "pos", "term_id").distinct()
+    sets = anchors.groupBy("item", "first").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    keyed = anchors.join(sets, ["item", "first"])
+    lookups = keyed.select("item", "places", "pos", "term_id").distinct()
     lists = postings.join(_small(lookups.withColumnRenamed("pos", "at"), F.lit(80)), "term_id")
-    aligned = (lists.groupBy("item_id", "version", "places", "doc", (F.col("pos") - F.col("at")).alias("shift"))
+    aligned = (lists.groupBy("item", "places", "doc", (F.col("pos") - F.col("at")).alias("shift"))
                .agg(F.count("*").alias("met")).where(F.col("met") == F.size("places")))
-    windows = sets.join(ranked.select("item_id", "version", "first", "size").distinct(), ["item_id", "version", "first"])
-    asked = (aligned.join(windows, ["item_id", "version", "places"])
-             .select("item_id", "version", "first", "size", "doc", (F.col("shift") + F.col("first")).alias("start"))
+    windows = sets.join(ranked.select("item", "first", "size").distinct(), ["item", "first"])
+    asked = (aligned.join(windows, ["item", "places"])
+             .select("item", "first", "size", "doc", (F.col("shift") + F.col("first")).alias("start"))
              .where("start >= 0"))
     asked = materialize(asked, "asked")
     # the places an alignment needs, each once, are looked up in the full lists
-    rest = ranked.select("item_id", "version", "first", "pos", "term_id")
-    places = (asked.select("item_id", "version", "first", "doc", (F.col("start") - F.col("first")).alias("shift"))
-              .join(rest, ["item_id", "version", "first"])
-              .select("item_id", "version", "doc", "shift", F.col("pos").alias("at"), (F.col("pos") + F.col("shift")).alias("pos"), "term_id")
+    rest = ranked.select("item", "first", "pos", "term_id")
+    places = (asked.select("item", "first", "doc", (F.col("start") - F.col("first")).alias("shift"))
+              .join(rest, ["item", "first"])
+              .select("item", "doc", "shift", F.col("pos").alias("at"), (F.col("pos") + F.col("shift")).alias("pos"), "term_id")
               .distinct())
-    found = materialize(places.join(postings, ["doc", "pos", "term_id"]).select("item_id", "version", "doc", "shift", "at"), "found")
+    found = materialize(places.join(postings, ["doc", "pos", "term_id"]).select("item", "doc", "shift", "at"), "found")
     need = (asked.select("*", (F.col("start") - F.col("first")).alias("shift"))
-            .select("item_id", "version", "first", "size", "doc", "start", "shift",
+            .select("item", "first", "size", "doc", "start", "shift",
                     F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("at")))
-    return (need.join(found, ["item_id", "version", "doc", "shift", "at"])
-            .groupBy("item_id", "version", "first", "size", "doc", "start").agg(F.count("*").alias("met"))
-            .where("met = size").select("item_id", "version", "doc", "start", "size").distinct())
+    return (need.join(found, ["item", "doc", "shift", "at"])
+            .groupBy("item", "first", "size", "doc", "start").agg(F.count("*").alias("met"))
+            .where("met = size").select("item", "doc", "start", "size").distinct())
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
@@ -115,12 +118,12 @@ def numbered_terms(terms: DataFrame) -> DataFrame:
 
 def scan(df: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str,
          window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_hit, items array): how much of every row stands in a window of a benchmark item.
+    """(id, n_words, n_hit, items array, n_items): how much of every row stands in a window of a benchmark item.
 
     One row for each row of ``df``, also for repeated or null ids.  Null and
     blank texts have no words and hit nothing.  Items of null or blank text have
-    no windows; rows that repeat an item count once.  An item with a null id
-    covers words but is not listed.  Further columns are not read.
+    no windows; rows that repeat an item count once.  Items with a null id
+    cover words and count as one in ``n_items``, but are not listed.  Further columns are not read.
     """
     terms = query_terms(benchmark, item_col, item_text)
     numbers = numbered_terms(terms)
@@ -128,11 +131,14 @@ def scan(df: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_c
     hits = materialize(phrase_matches(index, terms.join(numbers, "term"), window), "hits")
     covered = (hits.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos"))
                .distinct().groupBy("doc").agg(F.count("*").alias("n_hit")))
-    items = hits.groupBy("doc").agg(F.collect_set("item_id").alias("items"))
+    ids = terms.select("item", "item_id").distinct()
+    items = (hits.select("doc", "item").distinct().join(_small(ids, F.lit(40)), "item").groupBy("doc")
+             .agg(F.collect_set("item_id").alias("items"), F.max(F.col("item_id").isNull().cast("long")).alias("unnamed")))
     docs = index.where("term_id is null").select("doc", F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"))
-    empty = F.array().cast(hits.select(F.array("item_id").alias("a")).schema["a"].dataType)
+    empty = F.array().cast(ids.select(F.array("item_id").alias("a")).schema["a"].dataType)
     return (docs.join(covered.join(items, "doc"), "doc", "left")
-            .select(id_col, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", empty).alias("items")))
+            .select(id_col, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", empty).alias("items"),
+                    F.coalesce(F.size("items") + F.col("unnamed"), F.lit(0)).cast("long").alias("n_items")))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -141,7 +147,7 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def report(scanned: DataFrame, id_col: str) -> DataFrame:
     """The digest columns of ``scan``'s rows."""
-    return scanned.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+    return scanned.select(id_col, "n_words", "n_hit", "n_items",
                           F.sha2(ascii_id_list(F.col("items")), 256).alias("items_sha256"),
                           contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
