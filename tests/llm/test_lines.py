@@ -42,3 +42,14 @@ def test_random_runs_against_brute_force(frame, run):
     got = L.remove_repeated_lines(frame(rows), "doc_id", "text", run).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted(slow(rows, run))
     assert all(r._n_lines - r._n_removed == len(slow(rows, run)[r.doc_id][1].split("\n")) or r.text == "" for r in got)
+
+
+def test_long_passages_on_one_or_two_lines(frame):
+    """With ``min_words`` repeats of one or two lines count if they have the words; short boilerplate lines stay."""
+    long, a, b = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("l", 50), ("a", 30), ("b", 20)))
+    rows = [(1, long), (2, long), (3, f"x\n{long}\ny"), (4, f"{a}\n{b}\nfooter"), (5, f"{a}\n{b}"), (6, f"{a}\nfooter"), (7, f"{long}\n{long}"),
+            (None, f"q\n{a}"), (8, None), (9, ""), (10, "footer\n\nx\ny\nz"), (11, "x\ny\nz")]
+    got = L.remove_repeated_lines(frame(rows), "doc_id", "text", min_words=50).collect()
+    left = {1: long, 2: "", 3: "x\ny", 4: f"{a}\n{b}\nfooter", 5: "", 6: f"{a}\nfooter", 7: "", None: f"q\n{a}", 8: None, 9: "",
+            10: "footer\n\nx\ny\nz", 11: ""}
+    assert {r.doc_id: r.text for r in got} == left and len(got) == len(rows)

@@ -7,6 +7,9 @@ hash occurs once are dropped.  The places of the others are extended to both
 sides by up to ``min_run - 1`` lines: each run of ``min_run`` lines around one is
 compared with its equals, and all but the earliest in the order (id, text digest,
 line) are deleted.  Longer repeats consist of such runs.
+
+Shorter runs count too if ``min_words`` is given: all runs of fewer lines that
+hold at least so many words together are compared, without winnowing.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlabels.llm.common import materialize
+from textlabels.llm.common import materialize, words
 
 MIN_RUN = 3
 
@@ -43,34 +46,49 @@ def selected_lines(df: DataFrame, id_col: str, text_col: str, min_run: int) -> D
             .drop("h"))
 
 
-def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_run: int = MIN_RUN) -> DataFrame:
+def wordy_runs(df: DataFrame, id_col: str, text_col: str, min_run: int, min_words: int) -> DataFrame:
+    """(id, digest, start, run): all runs of fewer than ``min_run`` lines with ``min_words`` words or more, once each."""
+    rows = (df.where(F.col(text_col).isNotNull())
+            .select(F.col(id_col).alias("id"), F.md5(text_col).alias("digest"),
+                    F.transform(_lines(F.col(text_col)), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(words(x)).alias("w"))).alias("x")))
+    at = rows.select("id", "digest", "x", F.posexplode("x").alias("start", "line"))
+    run = F.explode(F.array(*[F.slice("x", F.col("start") + 1, n) for n in range(1, min_run)]))
+    total = F.aggregate("run", F.lit(0), lambda n, x: n + x["w"])
+    return (at.select("id", "digest", "start", run.alias("run")).where(total >= min_words)
+            .select("id", "digest", "start", F.col("run.h").alias("run")).distinct())
+
+
+def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """(id, digest, lines array<int>): the lines to delete, for every text that has some."""
     places = materialize(selected_lines(df, id_col, text_col, min_run).distinct(), "line-minima")
     # counts are written before they are joined: both sides of the join are then dealt anew, and a hot key can be split
     shared = materialize(places.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1").select("mark"), "line-shared")
     start = F.explode(F.sequence(F.col("low"), F.least(F.col("pos"), F.col("n") - min_run)))
-    runs = materialize(
-        places.join(shared, "mark").select("id", "digest", "low", "around", start.alias("start"))
-        .select("id", "digest", "start", F.slice("around", F.col("start") - F.col("low") + 1, min_run).alias("run"))
-        .distinct(), "line-runs")
+    runs = (places.join(shared, "mark").select("id", "digest", "low", "around", start.alias("start"))
+            .select("id", "digest", "start", F.slice("around", F.col("start") - F.col("low") + 1, min_run).alias("run"))
+            .distinct())
+    if min_words is not None:
+        runs = runs.unionByName(wordy_runs(df, id_col, text_col, min_run, min_words))
+    runs = materialize(runs, "line-runs")
     place = F.struct("id", "digest", "start")
     first = materialize(runs.groupBy("run").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
                         .select("run", "first"), "line-first")
     later = runs.join(first, "run").where(place != F.col("first"))
-    return (later.select("id", "digest", F.explode(F.sequence("start", F.col("start") + (min_run - 1))).alias("line"))
+    return (later.select("id", "digest", F.explode(F.sequence("start", F.col("start") + F.size("run") - 1)).alias("line"))
             .groupBy("id", "digest").agg(F.collect_set("line").alias("lines")))
 
 
-def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, min_run: int = MIN_RUN) -> DataFrame:
+def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """The rows and columns of ``df``, with the text that is left, and ``_n_lines``, ``_n_removed`` (long).
 
     Lines end at "\\n".  Rows that repeat both id and text count as one text and
     keep the same lines; of equal texts with different ids the one with the
     smaller id keeps them.  A null id comes before all others.  A null text stays null
     with no lines, an empty one is one empty line.  Overlapping repeats inside a
-    text count: of five equal lines the first stays.
+    text count: of five equal lines the first stays.  With ``min_words`` runs of
+    fewer than ``min_run`` lines are removed as well if they have so many words.
     """
-    gone = repeated_lines(df, id_col, text_col, min_run).select(
+    gone = repeated_lines(df, id_col, text_col, min_run, min_words).select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("lines").alias("_lines"))
     text = F.col(text_col)
     joined = df.withColumn("_own", F.md5(text)).join(
