@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from textlabels.llm import (
-    bpe, decontaminate, embedding_dedup, license_scan, line_dedup, quality, simhash, suffix_dedup, toxicity, url_rules,
+    bpe, centroids, decontaminate, embedding_dedup, license_scan, line_dedup, quality, simhash, suffix_dedup, toxicity, url_rules,
 )
 from textlabels.llm.common import table
 
@@ -200,6 +200,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::B
 FROM d LEFT JOIN bases USING (r) LEFT JOIN everything USING (r)
 """
 
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def _op13_sql(rounds: int = 5) -> str:
+    steps = ["""
+v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q
+  FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, q FROM v ORDER BY h, q LIMIT 40))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, c, d FROM (
+    SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c{i}.q[i]) * (v.q[i] - c{i}.q[i])))::BIGINT AS d FROM v, c{i})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(n.q, o.q) AS q FROM c{i} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q
+    FROM (SELECT c, i, sum(q[i]) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) t(i) GROUP BY c, i) GROUP BY c) n USING (c))""")
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c) JOIN v USING (r)
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -211,6 +245,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op13_centroids": op13_centroids,
 }
 SQL: dict[str, str] = {
     "op3_url_rules": OP3_SQL,
@@ -218,4 +253,5 @@ SQL: dict[str, str] = {
     "op8_suffix_dedup": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op13_centroids": OP13_SQL,
 }
