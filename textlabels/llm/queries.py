@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from textlabels.llm import (
-    bpe, centroids, decontaminate, divergence, embedding_dedup, license_scan, line_dedup, quality, simhash, suffix_dedup, toxicity, url_rules,
+    bpe, centroids, decontaminate, divergence, embedding_dedup, license_scan, line_dedup, quality, simhash, suffix_dedup, suffix_tree_lm,
+    toxicity, url_rules,
 )
 from textlabels.llm.common import table
 
@@ -201,6 +202,10 @@ FROM d LEFT JOIN bases USING (r) LEFT JOIN everything USING (r)
 """
 
 
+def op11_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", suffix_tree_lm.training("doc_id"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), "lang", "source", "text")
 
@@ -279,6 +284,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_suffix_tree_lm": op11_suffix_tree_lm,
     "op12_divergence": op12_divergence,
     "op13_centroids": op13_centroids,
 }
