@@ -91,6 +91,7 @@ def prose(rng, n=80):
 @pytest.mark.parametrize("p_min,depth", [(1e-6, 2), (0.004, 3), (0.05, 1)])
 def test_against_brute_force(spark, monkeypatch, p_min, depth):
     monkeypatch.setattr(L, "FLUSH", 20)
+    monkeypatch.setattr(L, "BLOCK", 50)
     rows = prose(np.random.default_rng(depth))
     got = fast(spark.createDataFrame(rows, SCHEMA).repartition(5), p_min=p_min, depth=depth)
     want, tree, _, _ = slow(rows, p_min, depth)

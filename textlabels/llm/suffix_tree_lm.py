@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ LEAST = 2                      # and least count
 DEPTH = 2                      # words of the longest context
 DISCOUNT = 0.5                 # taken from each stored count
 FLUSH = 300_000                # distinct words that a task counts before it sends them on
+BLOCK = 1 << 20                # tokens looked up at a time
 END = b"\n"                    # no word holds white space
 END_ID = 0                     # its number; a text begins after an end
 
@@ -138,12 +140,23 @@ def sequences(ids: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, list
     return flat, ends
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts, cut so that a block holds about ``BLOCK`` tokens beyond its first text's."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def sequence_counts(texts: DataFrame, keys: list[np.ndarray]) -> DataFrame:
     """(key, n) of the sequences one token longer than those in ``keys``; a key is (place of the head << 32) | token."""
     shared = texts.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches):
             flat, ends = sequences(batch.column("ids").flatten().to_numpy(), shared.value)
             before = heads(ends[-1], len(ends), flat)
             on = (before >= 0) & (flat >= 0)
@@ -259,9 +272,7 @@ def score(df: DataFrame, id_col: str, text_col: str, train: Column, p_min: float
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in blocks(batches):
             ids = batch.column("ids").flatten().to_numpy()
             starts = np.r_[0, np.cumsum(batch.column("n_tokens").to_numpy())[:-1]]
             in_tree = ids >= 0
