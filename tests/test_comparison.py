@@ -77,8 +77,8 @@ def test_running_best_in_blocks_equals_one_block(spark):
         if run not in best or v > best[run]:
             want.append((run, t, v, best.get(run)))
             best[run] = v
-    for block in (None, F.floor(F.col("t") / 50)):
-        got = C.running_best(df, "run", ["t"], "v", block).collect()
+    for blocks in (1, 3, 40):
+        got = C.running_best(df, "run", ["t"], "v", blocks).collect()
         assert sorted((r.run, r.t, r.v) for r in got) == sorted(w[:3] for w in want)
         assert {(r.run, r.t): r.previous_best for r in got} == {w[:2]: w[3] for w in want}
         assert {(r.run, r.v) for r in got if r.chosen} == set(best.items())

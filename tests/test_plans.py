@@ -7,7 +7,7 @@ import pytest
 from textlabels.plans import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-TRAINED = {"train_multilabel", "train_multiclass", "train_multiclass_text", "tune", "adapt_domain_trained"}
+TRAINED = {"training_history", "warm_start_report", "train_multilabel", "train_multiclass", "train_multiclass_text", "tune", "adapt_domain_trained"}
 
 
 def plan(df):
@@ -36,16 +36,21 @@ def test_scoring_shuffles_one_row_per_text_or_chunk(spark):
 
 
 def test_scoring_without_broadcasts_reads_no_text_twice(spark):
+    """``score_long_text`` reads a union of two scans of the documents, one of which takes no text."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for name in ("linear_score", "score_long_text"):
             text = plan(QUERIES[name](spark, SF_DIR))
-            # the text was read once, for the partial sums; what follows works on those
-            assert "TakeOrderedAndProject" not in text and "documents.parquet" not in text
+            assert "TakeOrderedAndProject" not in text
+            assert len([s for s in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "text:string" in s]) == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_free_text_is_split_once_for_all_labels(spark):
+    assert plan(QUERIES["normalize_label"](spark, SF_DIR)).count("split(") == 1
+
+
 def test_error_cases_limit_before_the_text_join(spark):
     text = plan(QUERIES["error_cases"](spark, SF_DIR))
     assert text.count("WindowGroupLimit") == 2

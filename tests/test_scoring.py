@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -184,3 +185,71 @@ def test_scoring_asks_for_a_written_model(spark):
     df = spark.createDataFrame([(1, "a", 1)], "id int, text string, y int")
     with pytest.raises(ValueError, match="materialize"):
         M.linear_score(df, "id", "text", M.logodds_fit(df, "text", ["y"], ["y"]))
+
+
+def test_rows_that_share_a_key_are_scored_each(spark, model):
+    df = spark.createDataFrame([(1, "the w1"), (1, "w2 w3 w4"), (2, "the"), (None, "w5"), (None, "w6")], "id int, text string")
+    alone = df.selectExpr("concat_ws(':', id, text) as id", "text")
+    for budget in (0, M.BROADCAST_BYTES):
+        for score in (M.linear_score, M.score_long_text):
+            got = sorted(r.probs for r in score(df, "id", "text", model, broadcast_bytes=budget).collect())
+            want = sorted(r.probs for r in score(alone, "id", "text", model, broadcast_bytes=budget).collect())
+            assert len(got) == 5 and np.allclose(got, want)
+    repeated = df.where("id = 2").unionByName(df.where("id = 2"))
+    assert M.label_table(repeated, "id", "text", model).count() == 2
+    for bad, why in (("id = 1", "has several texts: 1"), ("id is null", "id is null")):
+        with pytest.raises(Exception, match=why):
+            M.label_table(df.where(bad), "id", "text", model).collect()
+
+
+def test_the_filter_lets_known_tokens_pass_and_few_others(spark):
+    known = spark.range(3000).selectExpr("concat('k', id) as token")
+    strangers = spark.range(20_000).selectExpr("concat('s', id) as token")
+    test = M.membership_filter(known, "token", 3000)
+    assert known.where(test).count() == 3000 and strangers.where(test).count() < 0.03 * 20_000
+    assert strangers.where(M.membership_filter(known.where("false"), "token", 0)).count() == 0
+
+
+def test_unknown_tokens_do_not_travel(spark, frame, model):
+    """Rows with 50 tokens the model does not know and one that it knows only beyond the broadcast."""
+    rows = [(i, f"the w{i % 60} " + " ".join(f"new{i}x{j}" for j in range(50))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    frequent, others, n = M._split_weights(model, 80 * 3)
+    assert n == others.count() > 50
+    bags = df.selectExpr("id", "array_distinct(split(text, ' ')) as bag")
+    partial = M._partial_scores(bags, ["id"], frequent, ["w0", "w1"], M.membership_filter(others, "token", n))
+    travelling = partial.selectExpr("sum(size(_rest))").first()[0]
+    assert 150 <= travelling < 200 + 0.05 * 10_000
+    a, b = ({r.id: r.probs for r in M.linear_score(df, "id", "text", model, budget).collect()} for budget in (80 * 3, M.BROADCAST_BYTES))
+    assert all(np.allclose(a[i], b[i]) for i in a)
+
+
+def test_tokens_of_many_rows_are_dealt_into_shares(spark, frame, model, monkeypatch):
+    want = {r.id: r.probs for r in M.linear_score(frame, "id", "text", model).collect()}
+    monkeypatch.setattr(M, "SHARE_ROWS", 4)
+    got = {r.id: r.probs for r in M.linear_score(frame, "id", "text", model, 0).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_a_bucketed_table_is_labelled_without_moving_its_text(spark, frame, model, tmp_path):
+    from textlabels.sources import tables as S
+    S.write_bucketed(frame, "speeches_b", f"{tmp_path}/b", ["id"], 4)
+    spark.sql("DROP TABLE speeches_b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = S.read_bucketed(spark, "speeches_b", f"{tmp_path}/b", frame.schema, ["id"], 4)
+        plans = [M.label_table(t, "id", "text", model, buckets=b)._jdf.queryExecution().executedPlan().toString()
+                 for t, b in ((table, 4), (frame, None))]
+        moved = [any(re.search(r"\btext#", node.split("Exchange", 1)[0] + child) for node, child in exchanges(p)) for p in plans]
+        assert moved == [False, True]
+        got, want = (sorted(map(tuple, M.label_table(t, "id", "text", model, buckets=b).collect())) for t, b in ((table, 4), (frame, None)))
+        assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[6:8] for r in got], [r[6:8] for r in want])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS speeches_b")
+
+
+def exchanges(plan):
+    """(line of an exchange, line below it) of a physical plan."""
+    lines = plan.splitlines()
+    return [(a, b) for a, b in zip(lines, lines[1:]) if re.search(r"\bExchange ", a)]

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -62,6 +63,26 @@ def test_messages(spark):
     assert [m.content for r in rows for m in r.messages] == [f"m{t}" for t in range(25)]
 
 
+def test_long_conversations_are_cut_by_rank(spark):
+    """1,500 messages with one turn number, a null conversation, equal messages."""
+    rows = [(1, 5, "user", f"m{i}") for i in range(1500)] + [(None, t, "user", "same") for t in (1, 1, 1, 2)] + [(2, 0, "a", "x")]
+    df = spark.createDataFrame(rows, "conv int, turn int, role string, text string").repartition(4)
+    for segment, blocks in ((100, 7), (3, 2)):
+        got = X.conversation_messages(df, "conv", "turn", "role", "text", segment, blocks).collect()
+        for conv in (1, None, 2):
+            mine = sorted((r.segment, [m.content for m in r.messages]) for r in got if r.conv == conv)
+            want = [r[3] for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2], hashlib.md5(r[3].encode()).hexdigest()))]
+            assert [s for s, _ in mine] == list(range(-(-len(want) // segment)))
+            assert all(len(m) == segment for _, m in mine[:-1]) and [c for _, m in mine for c in m] == want
+
+
+def test_encoding_keeps_rows_that_share_a_key(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "b a a"), (None, "a"), (None, "b")], "id int, text string")
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "token string, id int")
+    got = sorted((r.id or 0, r.ids) for r in X.encode_ids(df, "id", "text", vocab, 3).collect())
+    assert got == [(0, [3, -1, -1]), (0, [4, -1, -1]), (1, [3, 4, -1]), (1, [4, 3, 3])]
+
+
 def test_vocab_and_encoding(spark):
     df = spark.createDataFrame([(1, "b a b c"), (2, "a b"), (3, ""), (4, "zz " + "a " * 9), (5, None)], "id int, text string")
     vocab = X.vocab_build(df, "text", size=5)

@@ -55,3 +55,7 @@ PROMPT_SHOTS = [
     ("That's so rude!", "anger"),
 ]
 PROMPT_BLOCK = 'Sentence: "{sentence}"\nAllowed emotions: {allowed}\nEmotion ='
+
+# Measured bytes up to which a table of tokens is broadcast, and the overhead of a broadcast row.
+BROADCAST_BYTES = 128 * 1024 * 1024
+ROW_BYTES = 64

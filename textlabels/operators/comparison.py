@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlabels.functions.constants import LABELS28
+from textlabels.operators.prefix import running_max
 from textlabels.operators.metrics import class_counts, confusion_counts, f1_per_class
 from textlabels.functions.columns import f1, join_null_safe, without_nan
 
@@ -161,30 +162,18 @@ def error_counts(preds: DataFrame, base: str, new: str, key: str = "row_id", mod
     return _pair_outcomes(preds, base, new, key, model).groupBy("category").agg(F.count("*").alias("n"))
 
 
-def running_best(df: DataFrame, run: str, order: Sequence[str], value: str, block: Column | None = None) -> DataFrame:
+def running_best(df: DataFrame, run: str, order: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
     """Rows that beat every earlier row of their run (strictly): the checkpoint rule.
 
     Adds ``previous_best`` (null for the first) and ``chosen`` on the row that
-    stands in the end.  ``block`` is an optional expression that never
-    decreases along ``order``: the run is then worked on block by block, with
-    the best of all earlier blocks carried in from a table of block maxima, so
-    a run that holds a large share of all rows is spread over many tasks.  A
-    null run is a run, a null block comes before all others; NaN is no value.
+    stands in the end.  A run of any size is spread over ``blocks`` tasks (see
+    ``prefix``).  A null run is a run; NaN is no value.
     """
-    rows = without_nan(df.withColumn("_block", F.lit(0) if block is None else block), value)
-    within = (Window.partitionBy(run, "_block").orderBy(*order)
-                    .rowsBetween(Window.unboundedPreceding, -1))
-    earlier = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (rows.groupBy(run, "_block").agg(F.max(value).alias("_top"))
-                  .withColumn("_carry", F.max("_top").over(earlier))
-                  .withColumn("_final", F.max("_top").over(Window.partitionBy(run))))
-    joined = join_null_safe(rows.withColumn("_local", F.max(value).over(within)), blocks.drop("_top"), [run, "_block"])
-    best = F.greatest("_local", "_carry")               # skips nulls
-    return (joined.withColumn("previous_best", best)
-                  .where(F.col("previous_best").isNull() | (F.col(value) > F.col("previous_best")))
-                  .where(F.col(value).isNotNull())
-                  .withColumn("chosen", F.col(value) == F.col("_final"))
-                  .drop("_block", "_local", "_carry", "_final"))
+    rows = without_nan(df, value).where(F.col(value).isNotNull())
+    beaten = F.col("previous_best").isNull() | (F.col(value) > F.col("previous_best"))
+    best = running_max(rows, [run], order, value, "previous_best", blocks).where(beaten)
+    # few rows of a run are better than all before them
+    return best.withColumn("chosen", F.col(value) == F.max(value).over(Window.partitionBy(run)))
 
 
 def best_epoch(df: DataFrame, run: str, order: Sequence[str], value: str) -> DataFrame:

@@ -138,7 +138,7 @@ def normalize_label(df: DataFrame, col: str, labels: Sequence[str] = LABELS28, o
     """Free text -> label: exact match, else the first label (in list order) among the words, else 'invalid'."""
     clean = strip(F.lower(F.col(col)))
     words = raw_tokens(F.lower(F.col(col)))
-    token_hit = F.coalesce(*[F.when(F.array_contains(words, x), F.lit(x)) for x in labels])
+    token_hit = F.get(F.array_intersect(label_array(labels), words), F.lit(0))         # in list order
     return df.withColumn(out, F.coalesce(F.when(clean.isin(list(labels)), clean), token_hit, F.lit(INVALID)))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlabels.functions.columns import join_null_safe, without_nan
+from textlabels.sources.workspace import materialize
 
 ACCURACY = 200_000      # a block that is ordered holds about 4 / ACCURACY of the rows
 
@@ -33,7 +34,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     margin = 2.0 / ACCURACY
     places = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
     sketch = F.percentile_approx("v", F.array(*[F.lit(p) for p in places]), F.lit(ACCURACY))
-    bounds = rows.groupBy(*keys).agg(sketch.alias("cuts"))
+    # written, so that the planner knows how small the table is and broadcasts it: few groups would be few join keys
+    bounds = materialize(rows.groupBy(*keys).agg(sketch.alias("cuts")), "bounds")
 
     counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("copies"))
     bounded = join_null_safe(counts, bounds, keys) if keys else counts.withColumn("cuts", bounds.scalar())

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlabels.functions.columns import argmax, explode_rows, label_array, passes, sigmoid, tokens
-from textlabels.functions.constants import CHUNK_OVERLAP, CHUNK_SIZE, LABEL_THRESHOLD, NEUTRAL
+from textlabels.functions.constants import BROADCAST_BYTES, CHUNK_OVERLAP, CHUNK_SIZE, LABEL_THRESHOLD, NEUTRAL, ROW_BYTES
 from textlabels.operators.labels import over_threshold
 from textlabels.operators.text import chunk_tokens
 from textlabels.sources.workspace import materialize
 
-# Weights are broadcast up to this many bytes: the most frequent tokens that fit.
-BROADCAST_BYTES = 128 * 1024 * 1024
-_ROW_BYTES = 64             # overhead of one broadcast row beside its token and weights
-_SALTS = 16                 # shares into which the tokens of one key are dealt
+# The filter for the other tokens: bits a token, at most so many in all, bits set by each token.
+_FILTER_BITS, _FILTER_MOST, _FILTER_HASHES = 10, 1 << 27, 4
+# A token left over in more rows than this (and than one in 10,000 of all) is dealt into shares of that size.
+SHARE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -104,53 +106,104 @@ def logodds_fit(df: DataFrame, text: str, targets: Sequence[str | Column], label
     return LogOddsModel(tuple(labels), weights, bias)
 
 
-def _split_weights(model: LogOddsModel, budget: int) -> tuple[DataFrame, DataFrame]:
-    """The weights of the most frequent tokens, at most ``budget`` measured bytes, and the others.
+def _split_weights(model: LogOddsModel, budget: int) -> tuple[DataFrame, DataFrame, int]:
+    """The weights of the most frequent tokens, at most ``budget`` measured bytes, the others, and how many others there are.
 
     The cut lies between two powers of two of ``n_docs``, read off a table of at
     most 64 rows: nothing is sorted or limited.
     """
-    size = F.octet_length("token") + F.lit(_ROW_BYTES + 8 * len(model.labels))
+    size = F.octet_length("token") + F.lit(ROW_BYTES + 8 * len(model.labels))
     power = F.floor(F.log2(F.greatest(F.col("n_docs"), F.lit(1.0)))).cast("int")
-    sizes = model.weights.groupBy(power.alias("power")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("power")).collect()
-    cut, used = 1 << 62, 0
+    sizes = (model.weights.groupBy(power.alias("power")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+             .orderBy(F.desc("power")).collect())
+    cut, used, n_others = 1 << 62, 0, 0
     for row in sizes:
         used += row["bytes"]
         if used > budget:
-            break
-        cut = row["power"]
+            n_others += row["n"]
+        else:
+            cut = row["power"]
     frequent = power >= F.lit(cut if cut < 64 else 64)
     names = [f"w{k}" for k in range(len(model.labels))]
-    return (model.weights.where(frequent).select("token", *names), model.weights.where(~frequent).select("token", *names))
+    return (model.weights.where(frequent).select("token", *names), model.weights.where(~frequent).select("token", *names), n_others)
+
+
+def _filter_places(token: str, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), token), F.lit(bits)) for i in range(_FILTER_HASHES)]
+
+
+def membership_filter(tokens_: DataFrame, token: str, n: int) -> Column:
+    """A condition on the column ``token``: false only for tokens that ``tokens_`` does not hold (a Bloom filter).
+
+    The filter is one array of words of 64 bits, at most ``_FILTER_MOST`` bits
+    (16 MB) however many tokens there are; a fuller one lets more strangers pass.
+    """
+    bits = min(_FILTER_MOST, max(64, 1 << (_FILTER_BITS * max(n, 1) - 1).bit_length()))
+    place = tokens_.select(F.explode(F.array(*_filter_places(token, bits))).alias("place"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
+    words = place.groupBy((F.col("place") / 64).cast("long").alias("id")).agg(F.bit_or(one).alias("word"))
+    every = tokens_.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
+    packed = materialize(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda s: s["word"]).alias("words")), "filter")
+    words_ = packed.scalar()
+
+    def is_set(at: Column) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+        return F.get(words_, (at / 64).cast("int")).bitwiseAND(mask) != 0
+
+    return reduce(and_, [is_set(at) for at in _filter_places(token, bits)])
+
+
+def _partial_scores(bags: DataFrame, keys: Sequence[str], frequent: DataFrame, names: Sequence[str], known: Column | None) -> DataFrame:
+    """``keys, n`` and the sums of the broadcast weights; with ``known`` also ``_rest``, the other tokens for which it holds."""
+    tokens_of = bags.select(*keys, F.coalesce(F.size("bag"), F.lit(0)).alias("n"), F.explode_outer("bag").alias("token"))
+    met = tokens_of.join(F.broadcast(frequent.withColumn("_met", F.lit(True))), "token", "left")
+    rest = [] if known is None else [F.collect_list(F.when(F.col("_met").isNull() & known, F.col("token"))).alias("_rest")]
+    return met.groupBy(*keys, "n").agg(*[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in names], *rest)
+
+
+def _rest_sums(partial: DataFrame, keys: Sequence[str], others: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``keys, n`` and the weights that the tokens in ``_rest`` add.
+
+    A token that many rows hold is dealt into shares, and its weights repeated
+    for each.  At most 10,000 tokens can be that frequent.
+    """
+    rest = partial.select(*keys, "n", F.explode("_rest").alias("token"))
+    counts = rest.groupBy("token").agg(F.count("*").alias("rows"))
+    least = counts.agg(F.greatest(F.lit(SHARE_ROWS), F.coalesce(F.sum("rows"), F.lit(0)) / 10_000)).first()[0]
+    shares = counts.where(F.col("rows") > least).select("token", F.ceil(F.col("rows") / SHARE_ROWS).cast("int").alias("_shares"))
+    if shares.isEmpty():
+        return rest.join(others, "token").select(*keys, "n", *names)
+    shares = F.broadcast(materialize(shares, "shares"))         # at most 10,000 rows
+    dealt = (rest.join(shares, "token", "left")
+             .withColumn("_share", F.pmod(F.xxhash64(*keys), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares"))
+    spread = (others.join(shares, "token", "left")
+              .withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares"))
+    return dealt.join(spread, ["token", "_share"]).select(*keys, "n", *names)
 
 
 def _score_bags(bags: DataFrame, keys: Sequence[str], model: LogOddsModel,
                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``keys, bag`` (distinct tokens, null or empty for a blank text) -> ``keys, n, p0..pk``.
+    """``keys, bag`` (distinct tokens, null or empty for a blank text) -> ``keys, n, p0..pk``; ``keys`` tell the rows apart.
 
     The weights of the most frequent tokens, as many as fit in
-    ``broadcast_bytes``, are broadcast and summed where the text is read.  The
-    tokens left over stay with their row as a list, so the text is read once;
-    they then meet the other weights in a shuffle that is salted, as a token
-    that the model does not know may be frequent here.  A bag without tokens has
-    ``n`` = 0 and the probabilities of the bias.
+    ``broadcast_bytes``, are broadcast and summed where the text is read.  If that
+    is all of them, nothing else is done.  Otherwise a filter tells which tokens the
+    model may know besides; those stay with their row as a list, so the text is read
+    once, and meet the other weights in a shuffle.  Tokens that the model does not
+    know do not travel.  A bag without tokens has ``n`` = 0 and the probabilities of
+    the bias.
     """
     if model.n_tokens is None:
         raise ValueError("score with a written model: call materialize() on it first")
     k_all = range(len(model.labels))
     names = [f"w{k}" for k in k_all]
-    frequent, others = _split_weights(model, broadcast_bytes)
-    tokens_of = bags.select(*keys, F.coalesce(F.size("bag"), F.lit(0)).alias("n"), F.explode_outer("bag").alias("token"))
-    met = tokens_of.join(F.broadcast(frequent.withColumn("_met", F.lit(True))), "token", "left")
-    partial = materialize(met.groupBy(*keys, "n").agg(
-        *[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in names],
-        F.collect_list(F.when(F.col("_met").isNull(), F.col("token"))).alias("_rest")), "partial-scores")
-    rest = (partial.select(*keys, "n", F.explode("_rest").alias("token"))
-            .withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int")))
-    spread = others.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    tail = rest.join(spread, ["token", "_salt"]).select(*keys, "n", *names)
-    sums = (partial.select(*keys, "n", *names).unionByName(tail)
-            .groupBy(*keys, "n").agg(*[F.sum(c).alias(c) for c in names]))
+    frequent, others, n_others = _split_weights(model, broadcast_bytes)
+    if n_others:
+        partial = materialize(_partial_scores(bags, keys, frequent, names, membership_filter(others, "token", n_others)), "partial-scores")
+        sums = (partial.select(*keys, "n", *names).unionByName(_rest_sums(partial, keys, others, names))
+                .groupBy(*keys, "n").agg(*[F.sum(c).alias(c) for c in names]))
+    else:
+        sums = _partial_scores(bags, keys, frequent, names, None)
     bias = model.bias.select(F.struct("*").alias("b")).scalar()
     return sums.withColumn("b", bias).select(*keys, "n", *[
         sigmoid(F.col(f"b.b{k}") + F.when(F.col("n") > 0, F.col(f"w{k}") / F.nullif(F.col("n"), F.lit(0))).otherwise(F.lit(0.0)))
@@ -159,24 +212,25 @@ def _score_bags(bags: DataFrame, keys: Sequence[str], model: LogOddsModel,
 
 def linear_score(df: DataFrame, key: str, text: str, model: LogOddsModel,
                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``key, probs`` for every row: whole texts scored as one bag; without tokens the bias decides."""
-    bags = df.select(key, F.array_distinct(tokens(text)).alias("bag"))
-    scored = _score_bags(bags, [key], model, broadcast_bytes)
+    """``key, probs`` for every row, also for rows that share a key: whole texts scored as one bag; without tokens the bias decides."""
+    bags = df.select(F.monotonically_increasing_id().alias("_row"), key, F.array_distinct(tokens(text)).alias("bag"))
+    scored = _score_bags(bags, ["_row", key], model, broadcast_bytes)
     return scored.select(key, F.array(*[F.col(f"p{k}") for k in range(len(model.labels))]).alias("probs"))
 
 
 def _score_chunks(df: DataFrame, key: str, text: str, model: LogOddsModel, size: int, overlap: int,
                   broadcast_bytes: int) -> DataFrame:
-    """``key, probs, chunks``: unweighted mean over the chunks of a text; both null for a blank text."""
-    bags = (chunk_tokens(df.select(key, text), text, size, overlap, blank=True)
-            .select(key, "chunk", F.array_distinct("tokens").alias("bag")))
+    """``key, _digest, probs, chunks`` for every row: unweighted mean over the chunks of a text; both null for a blank text."""
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), key, F.xxhash64(text).alias("_digest"), text)
+    kept = ["_row", key, "_digest"]
+    bags = chunk_tokens(rows, text, size, overlap, blank=True).select(*kept, "chunk", F.array_distinct("tokens").alias("bag"))
     k_all = range(len(model.labels))
-    per_chunk = _score_bags(bags, [key, "chunk"], model, broadcast_bytes)
+    per_chunk = _score_bags(bags, [*kept, "chunk"], model, broadcast_bytes)
     real = F.col("n") > 0
-    means = per_chunk.groupBy(key).agg(F.count_if(real).alias("chunks"),
-                                       *[F.avg(F.when(real, F.col(f"p{k}"))).alias(f"p{k}") for k in k_all])
+    means = per_chunk.groupBy(*kept).agg(F.count_if(real).alias("chunks"),
+                                         *[F.avg(F.when(real, F.col(f"p{k}"))).alias(f"p{k}") for k in k_all])
     some = F.col("chunks") > 0
-    return means.select(key, F.when(some, F.array(*[F.col(f"p{k}") for k in k_all])).alias("probs"),
+    return means.select(key, "_digest", F.when(some, F.array(*[F.col(f"p{k}") for k in k_all])).alias("probs"),
                         F.when(some, F.col("chunks")).alias("chunks"))
 
 
@@ -196,26 +250,40 @@ def _decide(joined: DataFrame, labels: Sequence[str], threshold: float, blank_la
 def score_long_text(df: DataFrame, key: str, text: str, model: LogOddsModel, size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP, threshold: float = LABEL_THRESHOLD, blank_label: str = NEUTRAL,
                     broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One prediction record per row: ``key, probs, primary, all_labels, num_chunks``.
+    """One prediction record per row, also for rows that share a key: ``key, probs, primary, all_labels, num_chunks``.
 
     Texts over ``size`` tokens are scored chunk by chunk and averaged;
     ``num_chunks`` is set for those only.  Blank texts have probabilities 0 and
     ``blank_label``.
     """
-    scored = _score_chunks(df, key, text, model, size, overlap, broadcast_bytes)
+    scored = _score_chunks(df, key, text, model, size, overlap, broadcast_bytes).drop("_digest")
     return _decide(scored, model.labels, threshold, blank_label)
 
 
 def label_table(df: DataFrame, key: str, text: str, model: LogOddsModel, size: int = CHUNK_SIZE,
                 overlap: int = CHUNK_OVERLAP, threshold: float = LABEL_THRESHOLD, blank_label: str = NEUTRAL,
-                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                broadcast_bytes: int = BROADCAST_BYTES, buckets: int | None = None) -> DataFrame:
     """Original rows + ``primary_emotion``, ``all_emotions``, ``prob_<label>`` and 0/1 ``<label>``.
 
-    The scores come back by key.  The 0/1 columns use the raw threshold, so a
-    row whose label is only the arg-max, or a blank row, has them all 0.
+    The scores come back by key.  Rows may be repeated, but a null key, or one that
+    stands with two texts, is an error.  If ``df`` is a table bucketed by ``key`` into
+    ``buckets`` (``sources.tables.write_bucketed``), only the scores are shuffled; the
+    text stays where it is.
+
+    The 0/1 columns use the raw threshold, so a row whose label is only the arg-max,
+    or a blank row, has them all 0.
     """
-    scored = _score_chunks(df, key, text, model, size, overlap, broadcast_bytes)
-    done = _decide(df.join(scored, key, "left"), model.labels, threshold, blank_label)
+    def refuse(what: str, kind: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{key} {what}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(kind)
+
+    whole = df.withColumn(key, F.when(F.col(key).isNotNull(), F.col(key)).otherwise(refuse("is null", df.schema[key].dataType.simpleString())))
+    scored = _score_chunks(whole, key, text, model, size, overlap, broadcast_bytes)
+    if buckets:
+        scored = scored.repartition(buckets, key)
+    one_text = F.min("_digest") == F.max("_digest")
+    by_key = scored.groupBy(key).agg(F.when(one_text, F.any_value("probs")).otherwise(refuse("has several texts", "array<double>")).alias("probs"),
+                                     F.any_value("chunks").alias("chunks"))
+    done = _decide(df.join(by_key, key, "left"), model.labels, threshold, blank_label)
     probs = [F.get(F.col("probs"), F.lit(k)) for k in range(len(model.labels))]
     return done.select(
         *df.columns, F.col("primary").alias("primary_emotion"),

@@ -39,9 +39,12 @@ def label_distribution(df: DataFrame, col: str, labels: Sequence[str] = LABELS28
 
 
 def mean_probs(df: DataFrame, probs: str, labels: Sequence[str] = LABELS28, minimum: float = 0.01) -> DataFrame:
-    """Mean probability per label, labels at or below ``minimum`` dropped."""
+    """Mean probability per label, labels at or below ``minimum`` dropped.
+
+    Probabilities are added as decimals of 15 digits, so the mean does not depend on the order of the rows.
+    """
     return (df.select(F.posexplode(probs).alias("label_id", "p"))
-              .groupBy("label_id").agg(F.avg("p").alias("mean_prob")).where(F.col("mean_prob") > minimum)
+              .groupBy("label_id").agg((F.sum(F.col("p").cast("decimal(38,15)")).cast("double") / F.count("p")).alias("mean_prob")).where(F.col("mean_prob") > minimum)
               .select("label_id", F.get(label_array(labels), F.col("label_id")).alias("label"), "mean_prob"))
 
 

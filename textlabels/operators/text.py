@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlabels.functions.columns import explode_rows, raw_tokens, strip, tokens
+from textlabels.functions.columns import explode_rows, join_null_safe, raw_tokens, strip, tokens
 from textlabels.functions.constants import (
-    CHUNK_OVERLAP, CHUNK_SIZE, LABELS28, PROMPT_BLOCK, PROMPT_SHOTS, SPECIAL_TOKENS, VOCAB_SIZE,
+    BROADCAST_BYTES, CHUNK_OVERLAP, CHUNK_SIZE, LABELS28, PROMPT_BLOCK, PROMPT_SHOTS, ROW_BYTES, SPECIAL_TOKENS, VOCAB_SIZE,
 )
+from textlabels.operators.prefix import ranked
+from textlabels.sources.workspace import materialize
 
 
 def truncate_text(df: DataFrame, col: str, n: int = 2000, out: str | None = None) -> DataFrame:
@@ -63,19 +65,32 @@ def chat_messages(df: DataFrame, content: str, role: str | Column = "user", out:
 
 
 def conversation_messages(df: DataFrame, conv: str, turn: str, role: str, content: str,
-                          segment: int = 1000) -> DataFrame:
+                          segment: int = 1000, blocks: int | None = None) -> DataFrame:
     """Dialogue turns -> ordered message arrays, one row per conversation and segment.
 
-    A conversation of up to ``segment`` turns is one row (segment 0).  A longer
-    one continues in segments 1, 2, ...: no turn is dropped, yet no array or
-    task ever holds more than ``segment`` turns of one conversation.
+    Messages stand in the order of their turn; those of one turn go by role, then by
+    the md5 of their content.  Every ``segment`` messages of that order begin a new
+    row (segment 0, 1, ...), so no array is longer, whatever the turn numbers are.
+    Conversations longer than that are ranked in blocks (see ``prefix``); the others
+    are gathered as they are.
     """
-    part = F.floor(F.col(turn) / segment).cast("bigint").alias("segment")
-    message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
-    return (df.groupBy(F.col(conv), part)
-              .agg(F.array_sort(F.collect_list(message)).alias("m"))
-              .select(conv, "segment", F.transform("m", lambda m: F.struct(
-                  m["role"].alias("role"), m["content"].alias("content"))).alias("messages")))
+    parts = df.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.col(role).alias("role"), F.col(content).alias("content"),
+                      F.md5(F.coalesce(F.col(content), F.lit("")).cast("binary")).alias("_digest"))
+    order = ["_turn", "role", "_digest"]
+
+    def gather(rows: DataFrame, place: Sequence[str], part: Column) -> DataFrame:
+        message = F.struct(F.struct(*place).alias("place"), F.struct("role", "content").alias("message"))
+        return (rows.groupBy("_conv", part.cast("bigint").alias("segment")).agg(F.array_sort(F.collect_list(message)).alias("m"))
+                .select(F.col("_conv").alias(conv), "segment", F.transform("m", lambda m: m["message"]).alias("messages")))
+
+    sizes = parts.groupBy("_conv").agg(F.count("*").alias("_size"))
+    long = materialize(sizes.where(F.col("_size") > segment).select("_conv", F.lit(True).alias("_long")), "long")
+    if long.isEmpty():
+        return gather(parts, order, F.lit(0))
+    marked = join_null_safe(parts, long, ["_conv"], "left")
+    short = gather(marked.where(F.col("_long").isNull()), order, F.lit(0))
+    places = ranked(marked.where("_long").drop("_long"), ["_conv"], order, "_rank", blocks)
+    return short.unionByName(gather(places, ["_rank"], F.floor((F.col("_rank") - 1) / segment)))
 
 
 def tokenize(df: DataFrame, col: str, out: str = "tokens") -> DataFrame:
@@ -84,19 +99,21 @@ def tokenize(df: DataFrame, col: str, out: str = "tokens") -> DataFrame:
 
 def encode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int = 128,
                pad_id: int = -1, unk_id: int = 0) -> DataFrame:
-    """Tokens -> fixed-length ``ids`` and ``mask``, truncated and padded on the right.
+    """Tokens -> fixed-length ``ids`` and ``mask``, truncated and padded on the right; one result per row, also for rows that share a key.
 
-    ``vocab`` is bounded by construction (see ``vocab_build``), so it is
-    broadcast; the only shuffle regroups the <= max_len ids of each row by key
-    and carries no text.
+    A vocabulary of up to ``BROADCAST_BYTES`` measured bytes is broadcast (see
+    ``vocab_build``), a larger one is left to the planner; the only other shuffle
+    regroups the <= max_len ids of each row and carries no text.
     """
     # Splitting stops after max_len words; posexplode_outer keeps rows without words.
     text = F.regexp_replace(F.lower(F.coalesce(F.col(col), F.lit(""))), r"^\s+", "")
     words = F.slice(F.array_remove(F.split(text, r"\s+", max_len + 1), ""), 1, max_len)
-    short = df.select(key, F.posexplode_outer(words).alias("_pos", "_token"))
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), key, words.alias("_words"))
+    short = numbered.select("_row", key, F.posexplode_outer("_words").alias("_pos", "_token"))
     codes = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code"))
-    ids = (short.join(F.broadcast(codes), "_token", "left")
-                .groupBy(key)
+    held = codes.agg(F.coalesce(F.sum(F.octet_length("_token") + ROW_BYTES), F.lit(0))).first()[0]
+    ids = (short.join(F.broadcast(codes) if held <= BROADCAST_BYTES else codes, "_token", "left")
+                .groupBy("_row", key)
                 .agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(
                     "_pos", F.coalesce("_code", F.lit(unk_id)).alias("code"))))).alias("_seq")))
     n = F.size("_seq")

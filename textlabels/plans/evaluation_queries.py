@@ -274,7 +274,7 @@ def _(spark, sf):
     WHERE previous_best IS NULL OR value > previous_best""")
 def _(spark, sf):
     events = I.table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    best = C.running_best(events, "user_id", ["ts", "event_id"], "value", F.date_trunc("hour", "ts"))
+    best = C.running_best(events, "user_id", ["ts", "event_id"], "value")
     return rounded(best.select("user_id", "event_id", "value", "previous_best", "chosen"))
 
 

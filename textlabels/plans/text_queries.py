@@ -77,11 +77,11 @@ def _lines(col: str):
 
 
 @query("conversation_messages", """
-    SELECT conv_id, turn // 1000 AS segment, count(*) AS n_messages,
-           string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY ALL""")
+    SELECT conv_id, r // 4 AS segment, count(*) AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY r) AS dialogue
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) - 1 AS r FROM conversations) GROUP BY ALL""")
 def _(spark, sf):
     turns = I.table(spark, sf, "conversations")
-    dialogue = X.conversation_messages(turns, "conv_id", "turn", "role", "text")
+    dialogue = X.conversation_messages(turns, "conv_id", "turn", "role", "text", segment=4)
     return dialogue.select("conv_id", "segment", F.size("messages").cast("bigint").alias("n_messages"),
                            _lines("messages").alias("dialogue"))
 

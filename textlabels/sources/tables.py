@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from textlabels.functions.constants import LABELS28, PARAM_DEFAULTS, TEXT_CANDIDATES_LABELLING
 from textlabels.operators.text import corpus_lines
+from textlabels.sources import csv_split
 
 # Speech text holds quotes and line breaks, so CSV quoting doubles the quote
-# character and a record may span lines.  Such a file cannot be split: read it
-# once and land it as Parquet.
+# character and a record may span lines.
 _CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "lineSep": "\n",
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 _CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "escapeQuotes": "true", "lineSep": "\n",
@@ -26,16 +26,21 @@ FORMATS = ("csv", "parquet", "json", "orc")
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], fmt: str, schema: T.StructType | str,
-               **options: str) -> DataFrame:
-    """Load a table with a declared schema (nothing is inferred, so no extra pass).
+               splits: bool = True, **options: str) -> DataFrame:
+    """Load a table with a declared schema (nothing is inferred).
 
-    A CSV record may span lines, so one task reads a whole file; pass
-    ``multiLine="false"`` for files with one record per line, which can be split.
+    A CSV record may span lines; such files are read by one task a split (see
+    ``csv_split``).  With options that it does not know, or ``splits=False``,
+    Spark's own reader takes each file in one task.  Pass ``multiLine="false"``
+    for files with one record per line, which Spark splits itself.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     base = {"csv": {**_CSV_READ, **_TIMES}, "json": _TIMES}.get(fmt, {})
-    return spark.read.schema(schema).format(fmt).options(**{**base, **options}).load(path)
+    chosen = {**base, **options}
+    if fmt == "csv" and splits and csv_split.can_split(chosen):
+        return csv_split.read(spark, path, T._parse_datatype_string(schema) if isinstance(schema, str) else schema, chosen)
+    return spark.read.schema(schema).format(fmt).options(**chosen).load(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
@@ -47,6 +52,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int, mode: str = "errorifexists") -> None:
+    """A Parquet table at ``path``, named ``name`` in the catalog, with one sorted file for each bucket of ``keys``.
+
+    The rows are shuffled once, here.  Joins and aggregates by ``keys`` with as many
+    partitions then take the table as it lies.
+    """
+    (df.repartition(buckets, *keys).write.mode(mode).format("parquet").option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
+
+
+def read_bucketed(spark: SparkSession, name: str, path: str, schema: T.StructType, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A table that ``write_bucketed`` left at ``path``, also in a session whose catalog does not know it yet."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        by = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def union_splits(splits: Mapping[str, DataFrame], out: str = "split") -> DataFrame:
     """Concatenate tables, keep where each row came from; columns match by name, gaps become null."""
     parts = [df.withColumn(out, F.lit(name)) for name, df in splits.items()]
