@@ -55,6 +55,39 @@ def test_heads_with_many_contexts_give_the_same_result(frame, monkeypatch):
     assert sorted(fast(frame(rows))) == sorted(slow(rows))
 
 
+@pytest.mark.parametrize("large", [2, 7])
+def test_large_groups_of_near_copies_are_halved_down_to_single_strings(frame, monkeypatch, large):
+    """Copies of one text with a change at any place, cut at either end: groups stay too big over many rounds."""
+    monkeypatch.setattr(S, "LARGE", large)
+    rng = random.Random(large)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(620))
+    rows = []
+    for i in range(70):
+        t = list(base[rng.choice([0, rng.randint(0, 200)]):rng.choice([620, rng.randint(420, 620)])])
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            t[rng.randrange(len(t))] = rng.choice("XYZ")
+        rows.append((i, "".join(t)))
+    rounds, plain = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: rounds.append(name) or plain(df, name))
+    assert sorted(fast(frame(rows))) == sorted(slow(rows))
+    assert 4 <= rounds.count("suffix-dealt") <= 8
+
+
+def test_rows_of_a_large_group_grow_with_its_places_only(spark):
+    """Sides that differ at one end only: in each round one half is settled at once."""
+    body = bytes(97 + k % 23 for k in range(S.SPAN - 1 + S.MATCH - 10))
+    wide = spark.createDataFrame([(i, 500, bytearray(body[:S.SPAN - 1]), bytearray(body[S.SPAN - 1:] + bytes([i // 18, i % 18]) + b"z" * 8)) for i in range(300)],
+                                 "row long, place int, left binary, right binary")
+    old, S.LARGE = S.LARGE, 100
+    try:
+        ranges, groups = S._divide(wide)
+    finally:
+        S.LARGE = old
+    assert sum(r.count() for r in ranges) <= 2 * 8 * 300 and sum(g.count() for g in groups) <= 8 * 300
+    starts = {b for r in ranges for x in r.where("row = 7").collect() for b in range(x["first"], x["last"] + 1)}
+    assert starts == {500 - b for b in range(9, S.SPAN)}           # the strings that end before the change, and with the byte 18 rows share
+
+
 def test_awkward_rows(frame):
     long = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(700))
     rows = [(1, None), (2, ""), (3, "short"), (3, "short"), (None, long), (5, long[100:]), (6, "a" * 1000), (7, long[:199]), (8, "z" + long[:200]),

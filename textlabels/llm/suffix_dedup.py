@@ -15,8 +15,11 @@ begin up to ``left`` bytes before it equal, as far as ``MATCH`` bytes fit.
    and their runs are merged with a loser tree that carries common prefixes along
    and never compares known bytes again.  Neighbours in the merged order give
    the bytes in common.
-3. A head with more than ``LARGE`` contexts is not merged in one task: its strings
-   are counted by hash over the cluster, which needs no group in one place.
+3. A head with more than ``LARGE`` contexts is dealt out before it is merged.  Equal
+   strings that begin at most half of ``SPAN`` before the place share a longer suffix,
+   the others a longer left side, so each place goes once by either, and each half
+   is halved again while a group is too big.  In a half the bytes that count are
+   fewer: places that agree in all of them are copies there and one of them goes on.
 """
 
 from __future__ import annotations
@@ -226,46 +229,87 @@ def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, send, large) -> front-coded runs by head, or string hashes for the places of large heads."""
-    waiting: list[tuple[bytes, bytes, int, int]] = []
-
-    def run(items) -> Iterator[pa.RecordBatch]:
-        items.sort()
-        heads, coded, s = [], [], 0
-        for e in range(1, len(items) + 1):
-            if e == len(items) or items[e][0][:HEAD] != items[s][0][:HEAD]:
-                heads.append(items[s][0][:HEAD])
-                coded.append(front_code(items[s:e]))
-                s = e
-        yield batch_of(heads, coded, None)
-
-    def batch_of(heads, coded, strings) -> pa.RecordBatch:
-        n = len(heads) if strings is None else len(strings)
-        rows, starts, digests = zip(*strings) if strings else ((), (), ())
-        none = [None] * n
-        return pa.RecordBatch.from_arrays([
-            pa.array(heads if strings is None else none, pa.binary()), pa.array(coded if strings is None else none, pa.binary()),
-            pa.array(none if strings is None else rows, pa.int64()), pa.array(none if strings is None else starts, pa.int32()),
-            pa.array(none if strings is None else digests, pa.int64())], names=["head", "run", "row", "start", "string"])
-
+    """(row, text, send, large) -> front-coded runs by head, or both sides of the places of large heads."""
+    waiting: list[tuple[bytes, bytes, bytes, int, int]] = []
     for batch in batches:
         for row, text, send, large in zip(*(c.to_pylist() for c in batch.columns)):
             if not send and not large:
                 continue
             data = text.encode()
-            place, first, last = picks(np.frombuffer(data, np.uint8))
+            place, _, _ = picks(np.frombuffer(data, np.uint8))
             for i in send or ():
                 left, suffix = _sides(data, int(place[i]))
-                waiting.append((suffix, left, row, int(place[i])))
-            strings = [(row, s, xxhash.xxh64_intdigest(data[s:s + MATCH]) - (1 << 63))
-                       for i in large or () for s in range(int(first[i]), int(last[i]) + 1)]
-            if strings:
-                yield batch_of(None, None, strings)
+                waiting.append((suffix[:HEAD], suffix, left, row, int(place[i])))
+            if large:
+                yield _emitted(wide=[(row, int(place[i]), *_sides(data, int(place[i]))) for i in large])
             if len(waiting) >= RUN:
-                yield from run(waiting)
+                yield _sorted_runs(waiting)
                 waiting = []
     if waiting:
-        yield from run(waiting)
+        yield _sorted_runs(waiting)
+
+
+def _emit_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, right, left, row, place) -> front-coded runs by head."""
+    waiting: list[tuple[bytes, bytes, bytes, int, int]] = []
+    for batch in batches:
+        waiting += zip(*(c.to_pylist() for c in batch.columns))
+        if len(waiting) >= RUN:
+            yield _sorted_runs(waiting)
+            waiting = []
+    if waiting:
+        yield _sorted_runs(waiting)
+
+
+def _sorted_runs(items: list[tuple[bytes, bytes, bytes, int, int]]) -> pa.RecordBatch:
+    items.sort()
+    found, s = [], 0
+    for e in range(1, len(items) + 1):
+        if e == len(items) or items[e][0] != items[s][0]:
+            found.append((items[s][0], front_code([x[1:] for x in items[s:e]])))
+            s = e
+    return _emitted(found=found)
+
+
+_EMITTED = {"head": pa.binary(), "run": pa.binary(), "row": pa.int64(), "place": pa.int32(), "left": pa.binary(), "right": pa.binary()}
+
+
+def _emitted(found=(), wide=()) -> pa.RecordBatch:
+    rows = [(*x, None, None, None, None) for x in found] + [(None, None, *x) for x in wide]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _EMITTED.values())], names=list(_EMITTED))
+
+
+def _divide(wide: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(row, place, left, right) of large heads -> ([row, first, last: starts of equal strings], [groups to be merged]).
+
+    Round by round the offsets ``lo..hi`` (of string starts before the place) are halved.  Equal strings at such an offset
+    share ``lo`` bytes of the left side and ``MATCH - hi`` of the suffix, which is the key of a group; its strings lie in ``hi``
+    and ``MATCH - lo`` bytes, the context.  Keys and contexts are bytes, not hashes.  With one offset left, key and context are
+    the string itself, so no group has two contexts and the rounds end.
+    """
+    ranges, groups = [], []
+    part = lambda side, n: F.expr(f"substring({side}, 1, {n})")
+    left_over = wide.select("row", "place", "left", "right", F.lit(0).alias("lo"), F.lit(SPAN - 1).alias("hi"))
+    while not left_over.isEmpty():
+        middle = F.expr("(lo + hi) div 2").cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))).alias("half")
+        dealt = (left_over.select("row", "place", "left", "right", halves).select("row", "place", "left", "right", "half.*")
+                 .where(f"octet_length(left) >= lo and octet_length(right) >= {MATCH} - hi")
+                 .select("row", "place", "lo", "hi", F.concat(part("left", "lo"), part("right", f"{MATCH} - hi")).alias("key"),
+                         F.struct(part("left", "hi").alias("left"), part("right", f"{MATCH} - lo").alias("right")).alias("context")))
+        dealt = materialize(dealt, "suffix-dealt")
+        group = ["lo", "hi", "key"]
+        kinds = materialize(dealt.groupBy(*group, "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one")),
+                            "suffix-contexts")
+        copies = dealt.join(kinds.where("n > 1").select(*group, "context"), [*group, "context"])
+        ranges.append(copies.select("row", F.expr("place - octet_length(context.left)").cast("int").alias("first"),
+                                    F.expr(f"place - greatest(lo, {MATCH} - octet_length(context.right))").cast("int").alias("last")))
+        sizes = materialize(kinds.groupBy(*group).agg(F.count("*").alias("contexts")).where("contexts > 1"), "suffix-sizes")
+        varied = kinds.join(sizes, group).select("one.*", "context.*", *group, "contexts")
+        bounds = [F.unhex(F.lpad(F.hex(c), 2, "0")) for c in ("lo", "hi")]        # longer than HEAD with the key, so no head is equal
+        groups.append(varied.where(F.col("contexts") <= LARGE).select(F.concat(*bounds, "key").alias("head"), "right", "left", "row", "place"))
+        left_over = materialize(varied.where(F.col("contexts") > LARGE).select("row", "place", "left", "right", "lo", "hi"), "suffix-large")
+    return ranges, groups
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,13 +403,15 @@ def repeated_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = chosen.select(F.col("id").alias("own"), F.col("digest").alias("own_digest"), "row", "send", "large", "whole")
     texts = materialize(docs.join(named, F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("own_digest")))
                         .select("row", "text", "send", "large", "whole"), "suffix-texts")
-    emitted = materialize(texts.where("size(send) + size(large) > 0").select("row", "text", "send", "large").mapInArrow(
-        _emit_runs, "head binary, run binary, row long, start int, string long"), "suffix-runs")
-    ranges = (emitted.where("head is not null").select("head", "run").repartition("head").sortWithinPartitions("head")
-              .mapInArrow(_merge, "row long, first int, last int"))
-    strings = emitted.where("head is null").select("row", "start", "string").distinct()
-    again = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    ranges = ranges.unionByName(strings.join(again, "string").select("row", F.col("start").alias("first"), F.col("start").alias("last")))
+    schema = "head binary, run binary, row long, place int, left binary, right binary"
+    emitted = materialize(texts.where("size(send) + size(large) > 0").select("row", "text", "send", "large").mapInArrow(_emit_runs, schema), "suffix-runs")
+    copies, groups = _divide(emitted.where("head is null").select("row", "place", "left", "right"))
+    to_merge = emitted.where("head is not null").select("head", "run")
+    for group in groups:
+        to_merge = to_merge.unionByName(group.mapInArrow(_emit_groups, schema).select("head", "run"))
+    ranges = to_merge.repartition("head").sortWithinPartitions("head").mapInArrow(_merge, "row long, first int, last int")
+    for found in copies:
+        ranges = ranges.unionByName(found)
     by_text = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     cut = (texts.select("row", "text", "whole").join(by_text, "row", "left").where("size(whole) > 0 or ranges is not null")
            .mapInArrow(_cut, "row long, kept binary, spans array<struct<start:int,stop:int>>"))
