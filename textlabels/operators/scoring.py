@@ -158,7 +158,8 @@ def _partial_scores(bags: DataFrame, keys: Sequence[str], frequent: DataFrame, n
     tokens_of = bags.select(*keys, F.coalesce(F.size("bag"), F.lit(0)).alias("n"), F.explode_outer("bag").alias("token"))
     met = tokens_of.join(F.broadcast(frequent.withColumn("_met", F.lit(True))), "token", "left")
     rest = [] if known is None else [F.collect_list(F.when(F.col("_met").isNull() & known, F.col("token"))).alias("_rest")]
-    return met.groupBy(*keys, "n").agg(*[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in names], *rest)
+    sums = met.groupBy(*keys, "n").agg(*[F.sum(c).alias(c) for c in names], *rest)
+    return sums.select(*keys, "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names], *(["_rest"] if rest else []))
 
 
 def _rest_sums(partial: DataFrame, keys: Sequence[str], others: DataFrame, names: Sequence[str]) -> DataFrame:

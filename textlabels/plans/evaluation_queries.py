@@ -220,16 +220,6 @@ _OUTCOMES = """
     FROM (SELECT * FROM preds3 WHERE model = 'published') b JOIN (SELECT * FROM preds3 WHERE model = 'custom_a') c USING (row_id)"""
 
 
-@query("error_cases", sql("preds3", f"""
-    SELECT row_id, gold, base_pred, new_pred, category, example::int AS example, substr(text, 1, 200) || '...' AS snippet
-    FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) AS example FROM ({_OUTCOMES})
-          WHERE category <> 'both_correct')
-    JOIN documents ON doc_id = row_id WHERE example <= 5"""))
-def _(spark, sf):
-    docs = I.documents(spark, sf).select(F.col("doc_id").alias("row_id"), "text")
-    return C.error_cases(I.preds3(spark, sf), docs, "text", "published", "custom_a")
-
-
 @query("error_counts", sql("preds3", f"SELECT category, count(*) AS n FROM ({_OUTCOMES}) GROUP BY category"))
 def _(spark, sf):
     return C.error_counts(I.preds3(spark, sf), "published", "custom_a")
@@ -245,6 +235,18 @@ def _best_and_baseline(spark, sf):
     return preds, C.best_model(C.model_metrics(preds), "published").first()
 
 
+@query("error_cases", sql("metrics3", f"""
+    WITH {_BEST} SELECT row_id, gold, base_pred, new_pred, category, example::int AS example, substr(text, 1, 200) || '...' AS snippet
+    FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) AS example
+          FROM ({_OUTCOMES.replace("model = 'custom_a'", "model IN (SELECT model FROM best)")}) WHERE category <> 'both_correct')
+    JOIN documents ON doc_id = row_id WHERE example <= 5"""))
+def _(spark, sf):
+    """Cases of the model found best against the baseline."""
+    docs = I.documents(spark, sf).select(F.col("doc_id").alias("row_id"), "text")
+    preds, names = _best_and_baseline(spark, sf)
+    return C.error_cases(preds, docs, "text", names["baseline_model"], names["best_model"])
+
+
 @query("best_model_confusions", sql("metrics3", f"""
     WITH {_BEST} SELECT model, gold, pred, count(*) AS n FROM preds3 JOIN best USING (model) WHERE gold <> pred
     GROUP BY ALL ORDER BY n DESC, gold, pred LIMIT 10"""))

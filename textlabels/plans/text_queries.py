@@ -41,9 +41,9 @@ def _(spark, sf):
     return X.word_count(I.documents_gaps(spark, sf), "text").drop("text")
 
 
-@query("first_line", sql("raw_outputs", f"SELECT row_id, split_part({strip('output')}, chr(10), 1) AS line FROM raw_outputs"))
+@query("first_line", sql("documents_gaps", f"SELECT doc_id, split_part({strip('text')}, chr(10), 1) AS line FROM documents_gaps"))
 def _(spark, sf):
-    return X.first_line(I.raw_outputs(spark, sf), "output").select("row_id", "line")
+    return X.first_line(I.documents_gaps(spark, sf), "text").select("doc_id", "line")
 
 
 # The template once more, independent of the operator under test.
