@@ -23,9 +23,10 @@ def test_no_cross_joins_and_no_row_udfs(spark, name):
 
 
 @pytest.mark.parametrize("name,columns", [
-    ("value_counts", {"conv_id", "turn", "role"}), ("box_stats", {"event_type", "value"}), ("split_two", {"doc_id"}),
+    ("value_counts", {"conv_id", "turn", "role"}), ("box_stats", {"event_type", "value", "cuts"}), ("split_two", {"doc_id"}),
     ("accuracy", {"doc_id"}), ("best_epoch", {"event_id", "ts", "user_id", "value"})])
 def test_scans_read_only_what_they_need(spark, name, columns):
+    """``cuts`` stands in the small written table of cut points."""
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan(QUERIES[name](spark, SF_DIR)))
     assert schemas and {c.split(":")[0] for s in schemas for c in s.split(",")} == columns
 
