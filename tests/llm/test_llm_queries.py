@@ -18,9 +18,9 @@ def test_query_agrees_with_sql(spark, name):
     assert differences(QUERIES[name](spark, SF_DIR), connect(SF_DIR), SQL[name]) == []
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark):
