@@ -14,14 +14,51 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("accuracy", [10_000, 5])
-def test_exact_quantiles_whatever_the_sketch_accuracy(spark, monkeypatch, name, accuracy):
-    monkeypatch.setattr(Q, "ACCURACY", accuracy)
+@pytest.mark.parametrize("limit,sketch,grid", [(100_000, 4_000, 1_024), (3, 8, 4)])
+def test_exact_quantiles_whatever_the_sketch_and_the_limit(spark, monkeypatch, name, limit, sketch, grid):
+    for setting, value in (("LIMIT", limit), ("SKETCH", sketch), ("GRID", grid)):
+        monkeypatch.setattr(Q, setting, value)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
     df = spark.createDataFrame([(v,) for v in CASES[name]] + [(None,)], "v double")
     assert list(Q.exact_quantiles(df, [], "v", probs).first()) == pytest.approx(np.quantile(CASES[name], probs))
 
 
+def test_quantiles_by_narrowing_order_few_rows_of_hot_groups(spark, monkeypatch):
+    """Two hot groups, one of them null: several rounds, and what is ordered in the end is bounded for each wanted rank."""
+    monkeypatch.setattr(Q, "LIMIT", 50)
+    monkeypatch.setattr(Q, "SKETCH", 200)
+    monkeypatch.setattr(Q, "GRID", 32)
+    held, inside = [], Q._inside
+    monkeypatch.setattr(Q, "_inside", lambda rows, places, keys: held.append(inside(rows, places, keys)) or held[-1])
+    df = spark.range(90_000).selectExpr("nullif(id % 2, 1) as k", "if(id % 6 < 2, 7.0, pmod(hash(id), 100003) / 7) as v").repartition(6)
+    df = df.unionByName(spark.createDataFrame([(5, 1.0), (5, float("nan")), (6, None)], "k long, v double"))
+    got = {r.k: list(r)[1:] for r in Q.exact_quantiles(df, ["k"], "v", [0.05, 0.5, 0.9]).collect()}
+    values = {}
+    for r in df.collect():
+        if r.v is not None and r.v == r.v:
+            values.setdefault(r.k, []).append(r.v)
+    assert got.keys() == values.keys() and all(got[k] == pytest.approx(np.quantile(values[k], [0.05, 0.5, 0.9])) for k in values)
+    assert len(held) >= 4 and held[-1].count() <= 2 * 6 * 50          # rounds of a sketch and a count, then the rows that are ordered
+
+
+def test_summaries_are_added_to_and_place_the_first_cuts(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LIMIT", 100)
+    df = spark.range(60_000).selectExpr("id % 3 as k", "pmod(hash(id), 99991) / 3 as v")
+    old, new = df.where("v < 20000 and k < 2"), df.where("not (v < 20000 and k < 2)")
+    stored = Q.quantile_summary(old, ["k"], "v").unionByName(Q.quantile_summary(new, ["k"], "v"))
+    probs = [0.0, 0.25, 0.5, 0.99]
+    exact = {r.k: list(r)[1:] for r in Q.exact_quantiles(df, ["k"], "v", probs).collect()}
+    values = {k: np.sort([r.v for r in df.where(f"k = {k}").collect()]) for k in range(3)}
+    for r in Q.summary_quantiles(stored, ["k"], probs).collect():
+        assert r.n == len(values[r.k])
+        for p, q in zip(probs, list(r)[2:]):
+            assert abs(np.searchsorted(values[r.k], q) - p * r.n) <= r.n / 1000 + 1
+    for part in (stored, Q.quantile_summary(old, ["k"], "v"), Q.quantile_summary(df.limit(0), ["k"], "v")):
+        assert {r.k: list(r)[1:] for r in Q.exact_quantiles(df, ["k"], "v", probs, part).collect()} == exact
+    assert all(exact[k] == pytest.approx(np.quantile(values[k], probs)) for k in exact)
+    assert Q.quantile_summary(df.limit(0), [], "v").count() == 1 and Q.summary_quantiles(Q.quantile_summary(df.limit(0), [], "v"), [], probs).count() <= 1
+
+
 def test_box_stats_per_group(spark):
     rows = [(k, v) for k, values in CASES.items() for v in values]
     got = {r.k: r for r in A.box_stats(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textlabels.functions.constants import LABELS28
 from textlabels.operators import text as X
+from textlabels.operators.frequent import frequent_tokens, token_summary
 
 
 def chunk_starts(n, size=400, step=350):
@@ -108,3 +109,26 @@ def test_assemble_corpus(spark):
     b = spark.createDataFrame([("y", 1)], "text string, k int")
     out = X.assemble_corpus([(a, "u", "first"), (b, "text", "second")])
     assert sorted(tuple(r) for r in out.collect()) == [("first", "x"), ("second", "y")]
+
+
+def test_vocabulary_by_summaries(spark):
+    """Few counters a task: the same vocabulary, proved by the debt; rare tokens have no counter, ties with the last token are kept."""
+    common = [f"c{i % 40} C{i % 7} tie{i % 5}" for i in range(4000)]
+    texts = [(i, f"{t} once{i} <s>") for i, t in enumerate(common)] + [(-1, None), (-2, " ")]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    for size in (0, 3, 13, 52, 60):
+        want = sorted(map(tuple, X.vocab_build(df, "text", size).collect()))
+        for held in (40, 200, 100_000):
+            assert sorted(map(tuple, X.vocab_build(df, "text", size, held=held).collect())) == want
+    parts = [token_summary(df.where(c), "text", 200) for c in ("id % 2 = 0", "id % 2 <> 0")]
+    stored = parts[0].unionByName(parts[1])
+    assert sorted(map(tuple, X.vocab_build(df, "text", 13, summaries=stored).collect())) == sorted(map(tuple, X.vocab_build(df, "text", 13).collect()))
+    exact = {r.token: r.freq for r in frequent_tokens(df, "text", 10_000).collect()}
+    kept = {r.token: r.kept for r in token_summary(df, "text", 200).collect()}
+    debt = kept.pop(None)
+    assert debt > 0 and len(kept) <= 3 * 200
+    assert all(kept.get(t, 0) <= n <= kept.get(t, 0) + debt for t, n in exact.items())
+    chosen = frequent_tokens(df, "text", 10, ["<s>"], held=200)
+    text = chosen._jdf.queryExecution().executedPlan().toString()
+    assert chosen.count() < 60 and text.index("HashAggregate") < text.index("LeftSemi")       # rare tokens go before they are counted
+    assert frequent_tokens(df.limit(0), "text", 5).count() == 0

@@ -11,6 +11,7 @@ from textlabels.functions.columns import explode_rows, join_null_safe, raw_token
 from textlabels.functions.constants import (
     BROADCAST_BYTES, CHUNK_OVERLAP, CHUNK_SIZE, LABELS28, PROMPT_BLOCK, PROMPT_SHOTS, ROW_BYTES, SPECIAL_TOKENS, VOCAB_SIZE,
 )
+from textlabels.operators.frequent import frequent_tokens
 from textlabels.operators.prefix import ranked
 from textlabels.sources.workspace import materialize
 
@@ -124,13 +125,18 @@ def encode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, max_len: int
 
 
 def vocab_build(df: DataFrame, col: str, size: int = VOCAB_SIZE,
-                specials: Sequence[str] = SPECIAL_TOKENS) -> DataFrame:
+                specials: Sequence[str] = SPECIAL_TOKENS, held: int | None = None, summaries: DataFrame | None = None) -> DataFrame:
     """``(token, id, freq)``: specials first, then tokens by frequency desc, token asc.
 
     Counts combine map-side; the top-k keeps at most ``size`` rows, so the
-    numbering window runs over a bounded table.
+    numbering window runs over a bounded table.  With ``held`` counters a task, or
+    with stored ``summaries`` of all parts of ``df``, only tokens that can be among
+    those are counted (see ``frequent``); the result is the same.
     """
-    counts = explode_rows(df, [], tokens(col), "token").groupBy("token").agg(F.count("*").alias("freq"))
+    if held is None and summaries is None:
+        counts = explode_rows(df, [], tokens(col), "token").groupBy("token").agg(F.count("*").alias("freq"))
+    else:
+        counts = frequent_tokens(df, col, max(size - len(specials), 0), list(specials), summaries, held or size)
     order = [F.desc("freq"), F.asc("token")]
     top = counts.where(~F.col("token").isin(list(specials))).orderBy(*order).limit(max(size - len(specials), 0))
     rank = F.row_number().over(Window.orderBy(*order))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from textlabels.operators import statistics as A
+from textlabels.operators.quantiles import exact_quantiles, quantile_summary
 from textlabels.operators.text import word_count
 from textlabels.plans import inputs as I
 from textlabels.plans.registry import query, rounded
@@ -94,3 +97,14 @@ def _(spark, sf):
                unnest([count(doc_id), count(text), count(lang), count(source), count(n_chars)]) AS non_null FROM documents)""")
 def _(spark, sf):
     return A.profile(I.documents(spark, sf).select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query("quantiles_by_summary", """
+    SELECT event_type, round(quantile_cont(value, 0.01), 6) AS p1, round(quantile_cont(value, 0.5), 6) AS p50,
+           round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type HAVING count(value) > 0""")
+def _(spark, sf):
+    """Summaries of each user range, as if written when its rows came, place the cuts of exact quantiles."""
+    events = I.table(spark, sf, "events")
+    parts = quantile_summary(events.withColumn("part", F.col("user_id") % 4), ["part", "event_type"], "value")
+    found = exact_quantiles(events, ["event_type"], "value", [0.01, 0.5, 0.99], parts.drop("part"))
+    return rounded(found.select("event_type", F.col("q0").alias("p1"), F.col("q1").alias("p50"), F.col("q2").alias("p99")))

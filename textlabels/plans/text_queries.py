@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textlabels.functions.constants import SPECIAL_TOKENS
+from textlabels.functions.constants import SPECIAL_TOKENS, VOCAB_SIZE
 from textlabels.operators import splitting as D
 from textlabels.operators import text as X
 from textlabels.plans import inputs as I
@@ -107,13 +107,21 @@ def _(spark, sf):
                         F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"))
 
 
-@query("vocab_build", f"""
+_VOCAB_TABLE = f"""
     SELECT token, id, freq FROM ({_VOCAB}) UNION ALL
-    SELECT * FROM (VALUES {', '.join(f"('{t}', {i}::int, 0::bigint)" for i, t in enumerate(SPECIAL_TOKENS))}) AS s""")
+    SELECT * FROM (VALUES {', '.join(f"('{t}', {i}::int, 0::bigint)" for i, t in enumerate(SPECIAL_TOKENS))}) AS s"""
+
+
+@query("vocab_build", _VOCAB_TABLE)
 def _(spark, sf):
     return X.vocab_build(I.documents(spark, sf), "text")
 
 
+@query("vocab_from_summary", _VOCAB_TABLE)
+def _(spark, sf):
+    return X.vocab_build(I.documents(spark, sf), "text", held=4 * VOCAB_SIZE)
+
+
 @query("char_coverage", """
     SELECT char, freq, round((before + freq)::double / total, 6) AS covered
     FROM (SELECT char, freq, coalesce(sum(freq) OVER (ORDER BY freq DESC, char
