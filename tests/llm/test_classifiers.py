@@ -48,7 +48,9 @@ def test_quality(spark, tables):
     assert np.mean(right) > 0.9
     again = Q.train(docs, "doc_id", "text", labels, "quality")
     assert all(np.array_equal(model[k], again[k]) for k in model)
-    assert Q.keep_good(docs, "text", model).columns == docs.columns
+    named = docs.selectExpr("*", "5 as _score")
+    good = Q.keep_good(named, "text", model)
+    assert good.columns == named.columns and {r._score for r in good.collect()} == {5}
 
 
 def test_quality_without_labels_or_rows(spark, tables):

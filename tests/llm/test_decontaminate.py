@@ -78,5 +78,5 @@ def test_items_without_an_id_count(spark, frame):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = D.report(D.scan(frame(docs), "doc_id", "text", bench, "item_id", "text", 5), "doc_id").collect()
     assert sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in got) == [(1, 7, 1, True), (2, 3, 2, True), (3, 10, 2, True), (4, 0, 0, False)]
-    kept = D.drop_contaminated(frame(docs), "doc_id", "text", bench, "item_id", "text").collect()
+    kept = D.drop_contaminated(frame(docs).selectExpr("*", "0 as _Gone"), "doc_id", "text", bench, "item_id", "text").collect()
     assert [r.doc_id for r in kept] == [4]

@@ -102,7 +102,7 @@ def test_empty_table(frame):
 
 
 def test_keep_first_keeps_one_of_each_group_and_all_columns(frame):
-    df = frame([(3, "a b c d"), (2, "A b c d"), (9, "something else here now"), (None, "a b c d")])
+    df = frame([(3, "a b c d"), (2, "A b c d"), (9, "something else here now"), (None, "a b c d")]).selectExpr("*", "0 as _gone")
     kept = S.keep_first(df, "doc_id", "text")
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 9]
 

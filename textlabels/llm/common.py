@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], *names: str) -> tuple[str, ...]:
+    """``names``, each with as many underscores behind it as no column has (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other letter as it is.
 

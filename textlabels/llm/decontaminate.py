@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from textlabels.llm.common import ascii_id_list, materialize, words
+from textlabels.llm.common import ascii_id_list, free_names, materialize, words
 
 WINDOW = 13
 RAREST = 3                     # lists that are intersected before the rest is looked up
@@ -154,6 +154,7 @@ def report(scanned: DataFrame, id_col: str) -> DataFrame:
 
 def drop_contaminated(df: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     """The rows of ``df`` whose id has no contaminated row; rows without an id stay."""
+    name, = free_names(df.columns, "_gone")
     bad = (scan(df, id_col, text_col, benchmark, item_col, item_text)
-           .where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col(id_col).alias("_gone")).distinct())
-    return df.join(bad, df[id_col] == F.col("_gone"), "left_anti")
+           .where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col(id_col).alias(name)).distinct())
+    return df.join(bad, df[id_col] == F.col(name), "left_anti")

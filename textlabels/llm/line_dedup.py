@@ -17,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlabels.llm.common import materialize, words
+from textlabels.llm.common import free_names, materialize, words
 
 MIN_RUN = 3
+MIN_WORDS = 50         # a run of fewer lines counts if it holds so many words; the queries use it
 
 
 def _lines(text: Column) -> Column:
@@ -51,11 +52,12 @@ def wordy_runs(df: DataFrame, id_col: str, text_col: str, min_run: int, min_word
     rows = (df.where(F.col(text_col).isNotNull())
             .select(F.col(id_col).alias("id"), F.md5(text_col).alias("digest"),
                     F.transform(_lines(F.col(text_col)), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(words(x)).alias("w"))).alias("x")))
-    at = rows.select("id", "digest", "x", F.posexplode("x").alias("start", "line"))
-    run = F.explode(F.array(*[F.slice("x", F.col("start") + 1, n) for n in range(1, min_run)]))
-    total = F.aggregate("run", F.lit(0), lambda n, x: n + x["w"])
-    return (at.select("id", "digest", "start", run.alias("run")).where(total >= min_words)
-            .select("id", "digest", "start", F.col("run.h").alias("run")).distinct())
+    # the runs are cut before they are exploded, so that no row of a long text carries all of it
+    cut = lambda n: F.transform("x", lambda _, i: F.struct(i.alias("start"), F.slice("x", i + 1, n).alias("run")))
+    total = lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + x["w"])
+    held = [F.filter(cut(n), lambda r: (F.size(r["run"]) == n) & (total(r["run"]) >= min_words)) for n in range(1, min_run)]     # noqa: B023
+    return (rows.select("id", "digest", F.explode(F.concat(*held)).alias("r"))
+            .select("id", "digest", F.col("r.start").alias("start"), F.col("r.run.h").alias("run")).distinct())
 
 
 def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
@@ -87,15 +89,18 @@ def remove_repeated_lines(df: DataFrame, id_col: str, text_col: str, min_run: in
     with no lines, an empty one is one empty line.  Overlapping repeats inside a
     text count: of five equal lines the first stays.  With ``min_words`` runs of
     fewer than ``min_run`` lines are removed as well if they have so many words.
+    Columns of ``df`` named like the two counts are replaced by them.
     """
+    others = [c for c in df.columns if c.lower() not in ("_n_lines", "_n_removed")]
+    own, twin, digest, lines = free_names(others, "_own", "_id", "_digest", "_lines")
     gone = repeated_lines(df, id_col, text_col, min_run, min_words).select(
-        F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("lines").alias("_lines"))
+        F.col("id").alias(twin), F.col("digest").alias(digest), F.col("lines").alias(lines))
     text = F.col(text_col)
-    joined = df.withColumn("_own", F.md5(text)).join(
-        gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
-    left = F.filter(_lines(text), lambda line, i: ~F.array_contains("_lines", i))
+    joined = df.select(*others, F.md5(text).alias(own)).join(
+        gone, F.col(id_col).eqNullSafe(F.col(twin)) & (F.col(own) == F.col(digest)), "left")
+    left = F.filter(_lines(text), lambda line, i: ~F.array_contains(lines, i))
     return joined.select(
-        *[F.when(F.col("_lines").isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c)
-          for c in df.columns],
+        *[F.when(F.col(lines).isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c)
+          for c in others],
         F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text))).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n_removed"))
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_removed"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlabels.llm.common import tidy
+from textlabels.llm.common import free_names, tidy
 
 
 DIM, WIDTH, STRIDE = 8, 8, 4
@@ -229,4 +229,5 @@ def classify(df: DataFrame, id_col: str, text_col: str, model: Model, threshold:
 
 def keep_good(df: DataFrame, text_col: str, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that score at least ``threshold``."""
-    return df.withColumn("_score", scorer(model)(F.col(text_col))).where(F.col("_score") >= threshold).drop("_score")
+    score, = free_names(df.columns, "_score")
+    return df.withColumn(score, scorer(model)(F.col(text_col))).where(F.col(score) >= threshold).drop(score)

@@ -99,23 +99,29 @@ FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    left = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text",
+                                            min_words=line_dedup.MIN_WORDS)
     return left.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
                        F.sha2("text", 256).alias("kept_sha256"))
 
 
-OP9_SQL = """
+OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, md5(text) AS digest, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM (SELECT DISTINCT doc_id, text FROM documents)),
 runs AS (
-  SELECT doc_id, digest, i, line, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
-  FROM lines WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)),
+  SELECT doc_id, digest, i, line, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c, words, lead(words, 1) OVER w AS words_b
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS words FROM lines)
+  WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)),
+counted AS (
+  SELECT doc_id, digest, i, 3 AS n, line, b, c FROM runs WHERE c IS NOT NULL
+  UNION ALL SELECT doc_id, digest, i, 2, line, b, NULL FROM runs WHERE b IS NOT NULL AND words + words_b >= 50
+  UNION ALL SELECT doc_id, digest, i, 1, line, NULL, NULL FROM runs WHERE words >= 50),
 later AS (
-  SELECT doc_id, digest, i FROM runs WHERE c IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id NULLS FIRST, digest, i) > 1),
-gone AS (SELECT DISTINCT doc_id, digest, i + j AS i FROM later, (VALUES (0), (1), (2)) t(j)),
+  SELECT doc_id, digest, i, n FROM counted
+  QUALIFY row_number() OVER (PARTITION BY n, line, b, c ORDER BY doc_id NULLS FIRST, digest, i) > 1),
+gone AS (SELECT DISTINCT doc_id, digest, i + j AS i FROM later, (VALUES (0), (1), (2)) t(j) WHERE j < n),
 kept AS (
   SELECT l.doc_id, l.digest, count(*) AS n_lines, count(g.i) AS n_removed,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text

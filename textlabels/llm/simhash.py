@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlabels.llm.common import materialize, run_starts, tidy
+from textlabels.llm.common import free_names, materialize, run_starts, tidy
 from textlabels.llm.components import connected_components
 
 RADIUS = 3
@@ -200,6 +200,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def keep_first(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``df`` without those whose near-duplicate group has a smaller id; rows without an id stay."""
+    name, = free_names(df.columns, "_gone")
     gone = (near_duplicates(df, id_col, text_col).where(F.col(id_col) != F.col("component_id"))
-            .select(F.col(id_col).alias("_gone")).distinct())
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+            .select(F.col(id_col).alias(name)).distinct())
+    return df.join(gone, df[id_col] == F.col(name), "left_anti")
