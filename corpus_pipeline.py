@@ -17,8 +17,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that stand earlier; those of which nothing is left go."""
-    left = line_dedup.remove_repeated_lines(docs, "doc_id", "text")
+    """Documents without runs of lines that stand earlier (three lines, or 50 words); those of which nothing is left go."""
+    left = line_dedup.remove_repeated_lines(docs, "doc_id", "text", min_words=line_dedup.MIN_WORDS)
     left = left.where("_n_removed = 0 or text <> ''")
     return left.withColumn("n_chars", F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
                            .cast(docs.schema["n_chars"].dataType)).select(docs.columns)
