@@ -26,12 +26,12 @@ def split(text):
     return [*words, "</end>"]
 
 
-def slow(rows, p_min, depth):
+def slow(rows, root_share, depth):
     """The model in plain Python, with dictionaries of word tuples; returns (rows, contexts that stay, share of a word in a context)."""
     texts = [split(t) for i, t in rows if learns(i)]
     one = Counter(w for t in texts for w in t)
     total, distinct = sum(one.values()), len(one)
-    enough = max(2, math.ceil(p_min * total))
+    enough = max(2, math.ceil(root_share * math.sqrt(total)))
     follow = defaultdict(Counter)
     for t in texts:
         for i, w in enumerate(t):
@@ -88,13 +88,17 @@ def prose(rng, n=80):
     return out
 
 
-@pytest.mark.parametrize("p_min,depth", [(1e-6, 2), (0.004, 3), (0.05, 1)])
-def test_against_brute_force(spark, monkeypatch, p_min, depth):
+@pytest.mark.parametrize("root_share,depth,head,p_min", [(0.01, 2, 1 << 20, 1e-6), (0.2, 3, 15, 0.01), (2, 1, 1, 1)])
+def test_against_brute_force(spark, monkeypatch, root_share, depth, head, p_min):
+    """Also where most of the tree, or most words, are in tables alone."""
     monkeypatch.setattr(L, "FLUSH", 20)
     monkeypatch.setattr(L, "BLOCK", 50)
+    monkeypatch.setattr(L, "HEAD", head)
+    monkeypatch.setattr(L, "P_MIN", p_min)
+    monkeypatch.setattr(L, "MAP_BITS", 1 << 15)
     rows = prose(np.random.default_rng(depth))
-    got = fast(spark.createDataFrame(rows, SCHEMA).repartition(5), p_min=p_min, depth=depth)
-    want, tree, _, _ = slow(rows, p_min, depth)
+    got = fast(spark.createDataFrame(rows, SCHEMA).repartition(5), root_share=root_share, depth=depth)
+    want, tree, _, _ = slow(rows, root_share, depth)
     assert tree and [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
     assert sum(g[6] for g in got if g[1]) > sum(g[5] for g in got if g[1])       # better than the base on held-out texts
@@ -102,7 +106,7 @@ def test_against_brute_force(spark, monkeypatch, p_min, depth):
 
 def test_contexts_differ_in_length_and_shares_sum_to_one():
     rows = prose(np.random.default_rng(2))
-    _, tree, share, one = slow(rows, 1e-6, 2)
+    _, tree, share, one = slow(rows, 0.01, 2)
     assert {len(h) for h in tree} == {1, 2} and ("x1",) not in tree and len({h for h in tree if len(h) == 1}) < len(one)
     for h in sorted(tree)[:20]:
         assert math.isclose(sum(share(h, w, tree) for w in [*one, "never seen"]), 1)
@@ -113,12 +117,18 @@ def test_awkward_rows(spark):
     rows = [(0, None), (1, ""), (2, " \n\t "), (None, "a b"), (None, "a b"), (3, long), (3, long), (6, "A\x0bB c É"), (7, "zzz zzz yyy")]
     assert {learns(i) for i, _ in rows} == {True, False}
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as word", "1 as n", "2 as row", "'y' as raw", "3 as ids", "4 as id", "5 as train")
-    got, want = fast(df), slow(rows, L.P_MIN, L.DEPTH)[0]
+    got, want = fast(df), slow(rows, L.ROOT_SHARE, L.DEPTH)[0]
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
     assert fast(df.where("false")) == []
 
 
+def test_the_tree_grows_with_the_corpus():
+    """What the tree may hold is the corpus over the least count: ten times as much for a hundred times the tokens."""
+    sizes = [n / L.least(n) for n in (10 ** 6, 10 ** 8, 10 ** 10, 10 ** 12)]
+    assert all(9 < b / a < 11 for a, b in zip(sizes, sizes[1:]))
+
+
 def test_nothing_to_learn_from(spark):
     rows = [(i, "a b") for i in range(60) if not learns(i)]
     assert rows and fast(spark.createDataFrame(rows, SCHEMA)) == [(i, True, 3, 0, 0, 0.0, 0.0) for i, _ in rows]

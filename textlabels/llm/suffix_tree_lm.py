@@ -1,8 +1,9 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 The root's distribution is the smoothed one of single tokens, over every word of
-the corpus.  Below it stand contexts of one, two, ... preceding words.  A context is
-a candidate when it makes up at least ``P_MIN`` of all tokens, and stays when its
+the corpus.  Below it stand contexts of one, two, ... preceding words.  A sequence of
+words is a candidate when it occurs at least ``ROOT_SHARE`` times the square root of the
+corpus size; the tree grows with the corpus.  A context stays when its
 next-token distribution diverges enough from that of its longest proper suffix:
 the divergence times the context's count must exceed half the logarithm of the
 corpus size for each next token it stores (the Bayesian information criterion).
@@ -10,12 +11,16 @@ Suffixes of a context that stays, stay too.
 
 A context gives its stored next tokens a discounted share and hands the rest to its
 suffix, so every distribution sums to one down to the root.  A token is scored in
-the longest context of the tree that ends just before it.
-
-``P_MIN`` is a share of the corpus, the same at every size.  It bounds the tree that
-is broadcast (at most 1 / P_MIN entries a level) however large the corpus is.  All
-n-grams of such words are counted, over all documents; the words below it, which
-hold no place in the tree, meet their counts in a shuffle.
+the longest context of the tree that ends just before it.  Since the suffixes of a
+context of the tree are in it too, the logarithm of that share is a sum: the root's,
+``rest`` for each context of the tree that ends before the token, and ``gain`` for each stored
+sequence that ends with it.  So a text is scored by adding up weights of its sequences.
+
+The tree is counted, built and kept in tables; no part of it grows on the driver.  The
+weights of the ``HEAD`` most frequent sequences are broadcast.  A bitmap of fixed size tells
+which other sequences may have a weight; only those meet the rest of the tree in a shuffle.  The
+scores do not depend on ``HEAD``.  Sequences are named by 64-bit hashes of their words;
+the base score and the known words are not, they are counted by the words themselves.
 """
 
 from __future__ import annotations
@@ -28,13 +33,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlabels.llm.common import materialize, tidy
 
-P_MIN = 1e-6                   # least share of the tokens for a word or a sequence in the tree
-LEAST = 2                      # and least count
+P_MIN = 1e-6                   # words of at least this share of the tokens are broadcast with their numbers
+ROOT_SHARE = 0.01              # least count of a sequence in the tree, as a share of the root of all tokens
+LEAST = 2                      # and at least this
+HEAD = 1 << 20                 # sequences whose weights are broadcast
+MAP_BITS = 1 << 27             # of the bitmaps that tell which sequences may be in a table; a power of two from 2 ** 15
 DEPTH = 2                      # words of the longest context
 DISCOUNT = 0.5                 # taken from each stored count
 FLUSH = 300_000                # distinct words that a task counts before it sends them on
@@ -42,7 +51,8 @@ BLOCK = 1 << 20                # tokens looked up at a time
 END = b"\n"                    # no word holds white space
 END_ID = 0                     # its number; a text begins after an end
 
-Tree = dict[str, list[np.ndarray]]
+ODD = np.uint64(0x9E3779B97F4A7C15)        # fixed values: multipliers that mix 64-bit numbers
+MIXERS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def training(id_col: str, remainder: int = 1, folds: int = 5) -> Column:
@@ -79,8 +89,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("raw").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def word_code(word: bytes) -> int:
+    """A negative 64-bit number for a word."""
+    return xxhash.xxh64_intdigest(word) % 2 ** 63 - 2 ** 63
+
+
 def coded(docs: DataFrame, kind: str, words: list[bytes]) -> DataFrame:
-    """(row, id, train, n_tokens, ids, rare): the tokens as numbers in ``words``, -1 for others, which stand in ``rare`` with their counts."""
+    """(row, id, train, n_tokens, ids, rare): the tokens as places in ``words``, or as codes, and then in ``rare`` with their counts."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
     struct = pa.struct([("word", pa.binary()), ("times", pa.int64())])
 
@@ -90,9 +105,12 @@ def coded(docs: DataFrame, kind: str, words: list[bytes]) -> DataFrame:
             ids, others, sizes, n_others = [], [], [], []
             for raw in batch.column("raw"):
                 here = tokens(raw.as_py())
-                known = np.fromiter(map(number.get, here, repeat(-1)), np.int32, len(here))
-                rare = Counter(w for w, k in zip(here, known.tolist()) if k < 0)
-                ids += [known, np.array([END_ID], np.int32)]
+                known = np.fromiter(map(number.get, here, repeat(-1)), np.int64, len(here))
+                unnumbered = np.flatnonzero(known < 0).tolist()
+                rare = Counter(here[i] for i in unnumbered)
+                code_of = {w: word_code(w) for w in rare}
+                known[unnumbered] = [code_of[here[i]] for i in unnumbered]
+                ids += [known, np.array([END_ID], np.int64)]
                 others += rare.items()
                 sizes.append(len(here) + 1)
                 n_others.append(len(rare))
@@ -104,7 +122,7 @@ def coded(docs: DataFrame, kind: str, words: list[bytes]) -> DataFrame:
                 names=["row", "id", "train", "n_tokens", "ids", "rare"])
             tidy()
 
-    schema = f"row long, id {kind}, train boolean, n_tokens long, ids array<int>, rare array<struct<word: binary, times: long>>"
+    schema = f"row long, id {kind}, train boolean, n_tokens long, ids array<long>, rare array<struct<word: binary, times: long>>"
     return docs.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "train", "raw").mapInArrow(code, schema)
 
 
@@ -114,30 +132,48 @@ def _offsets(sizes: list[int]) -> pa.Array:
 
 # --- sequences ------------------------------------------------------------------------------------
 
-def look_up(keys: np.ndarray, head: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Places of the sequences (place of the head, last token) in the sorted ``keys``; -1 where there is none."""
-    if not len(keys):
-        return np.full(len(head), -1)
-    wanted = (head << 32) | last
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where((head >= 0) & (last >= 0) & (keys[at] == wanted), at, -1)
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Name of the sequence that is ``context`` without its last word and ``suffix`` without its first."""
+    x = context.view(np.uint64) * ODD + suffix.view(np.uint64)
+    for shift, by in zip((30, 27), MIXERS):
+        x = (x ^ (x >> np.uint64(shift))) * by
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def sequences(ids: np.ndarray, codes: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """([name of the sequence of 1, 2, ... ``depth`` + 1 tokens that ends at each], [whether there is one]), after a leading end.
+
+    A sequence may begin and end with an end, but not reach over one.
+    """
+    flat = np.r_[END_ID, ids]
+    after_end = np.r_[True, flat[:-1] == END_ID]
+    names, there = [np.where(flat >= 0, codes[np.maximum(flat, 0)], flat)], [np.ones(len(flat), bool)]
+    for length in range(1, depth + 1):
+        on = np.r_[False, there[-1][:-1]]
+        there.append(on & ~after_end if length > 1 else on)
+        names.append(joined(before(names[-1]), names[-1]))
+    return names, there
+
 
+def before(names: np.ndarray) -> np.ndarray:
+    """For every token the sequence that ends before it."""
+    return np.r_[names[:1], names[:-1]]
 
-def heads(longest: np.ndarray, length: int, flat: np.ndarray) -> np.ndarray:
-    """For every token the sequence of ``length`` that ends before it; none may reach over an end, but the one that starts there."""
-    before = np.r_[-1, longest[:-1]]
-    if length > 1:
-        before[np.r_[True, flat[:-1] == END_ID]] = -1
-    return before
 
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the column ``key``, modulo ``MAP_BITS``, as bytes; put together by Spark."""
+    bit = F.pmod("key", F.lit(MAP_BITS)) + 1
+    parts = (keys.groupBy(F.bitmap_bucket_number(bit).alias("at"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow())
+    out = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
+    for at, bits in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist()):
+        out[at - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
-def sequences(ids: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(tokens after a leading end, [place of the sequence of 1, 2, ... tokens that ends at each])."""
-    flat = np.r_[END_ID, ids].astype(np.int64)
-    ends = [flat]
-    for length, table in enumerate(keys, 1):
-        ends.append(look_up(table, heads(ends[-1], length, flat), flat))
-    return flat, ends
+
+def marked(names: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = names & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,100 +187,122 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-def sequence_counts(texts: DataFrame, keys: list[np.ndarray]) -> DataFrame:
-    """(key, n) of the sequences one token longer than those in ``keys``; a key is (place of the head << 32) | token."""
-    shared = texts.sparkSession.sparkContext.broadcast(keys)
+def sequence_counts(texts: DataFrame, codes: np.ndarray, bits: np.ndarray, length: int) -> DataFrame:
+    """(context, suffix, n) of the sequences of ``length`` + 1 tokens whose context and suffix ``bits`` marks."""
+    shared = texts.sparkSession.sparkContext.broadcast((codes, bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            flat, ends = sequences(batch.column("ids").flatten().to_numpy(), shared.value)
-            before = heads(ends[-1], len(ends), flat)
-            on = (before >= 0) & (flat >= 0)
-            on[0] = False
-            found, n = np.unique((before[on] << 32) | flat[on], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["key", "n"])
+            names, there = sequences(batch.column("ids").flatten().to_numpy(), shared.value[0], length)
+            suffix = names[length - 1]
+            good = marked(suffix, shared.value[1])
+            on = there[length] & good & np.r_[False, good[:-1]]
+            _, first, n = np.unique(names[length][on], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(before(suffix)[on][first]), pa.array(suffix[on][first]), pa.array(n.astype(np.int64))],
+                                             names=["context", "suffix", "n"])
             tidy()
 
-    return texts.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return (texts.select("ids").mapInArrow(count, "context long, suffix long, n long")
+            .groupBy("context", "suffix").agg(F.sum("n").alias("n")))
 
 
 # --- tree -----------------------------------------------------------------------------------------
 
-def root_shares(n: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    return (n + 0.5) / (total + 0.5 * (distinct + 1))
-
-
-def build(shares: np.ndarray, n_words: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray], total: int) -> Tree:
-    """The tree from the counts of frequent words and sequences.
+def named(words: DataFrame) -> DataFrame:
+    """Adds the column ``key`` to words, or to contexts with suffixes."""
+    single = "word" in words.columns
 
-    ``log``: by length, log10 of the share each stored sequence's last token has in the context of the rest.
-    ``rest``: by length of the context, log10 of the share it hands to its suffix, NaN where it does not stay.
-    """
-    share, suffix, size = [shares], [None], [n_words.astype(float)]
-    rest, stays = [], []
-    for length, (key, n) in enumerate(zip(keys, counts), 1):
-        head, last = key >> 32, key & 0xFFFFFFFF
-        below = last if length == 1 else look_up(keys[length - 2], suffix[-1][head], last)       # the sequence without its first token
-        contexts = len(size[-1])
-        stored = np.bincount(head, minlength=contexts)
-        kept = np.bincount(head, n - DISCOUNT, minlength=contexts)
-        of = np.maximum(size[-1], 1)
-        left = np.where(stored > 0, 1 - kept / of, 1.0)
-        own = (n - DISCOUNT) / of[head] + left[head] * share[-1][below]
-        gain = np.bincount(head, n * np.log(own / share[-1][below]), minlength=contexts)
-        unseen = size[-1] - np.bincount(head, n, minlength=contexts)
-        gain = gain + np.where(stored > 0, unseen * np.log(np.maximum(left, 1e-300)), 0)
-        stays.append((stored > 0) & (gain > 0.5 * stored * math.log(max(total, 2))))
-        rest.append(left)
-        share.append(own)
-        suffix.append(below)
-        size.append(n.astype(float))
-    for length in reversed(range(1, len(stays))):
-        stays[length - 1][suffix[length][stays[length]]] = True
-    return {"keys": keys, "log": [np.log10(s) for s in share],
-            "rest": [np.where(s, np.log10(np.maximum(r, 1e-300)), np.nan) for s, r in zip(stays, rest)]}
-
-
-def token_scores(ids: np.ndarray, tree: Tree) -> np.ndarray:
-    """log10 share of every token in the longest context of the tree before it; for tokens not in the tree without the root's share."""
-    flat, ends = sequences(ids, tree["keys"])
-    score, open_ = np.zeros(len(flat)), np.ones(len(flat), bool)
-    for length in reversed(range(1, len(tree["keys"]) + 1)):
-        context = heads(ends[length - 1], length, flat)
-        rest = np.where(context >= 0, tree["rest"][length - 1][context], np.nan)
-        inside = open_ & ~np.isnan(rest)
-        stored = inside & (ends[length] >= 0)
-        score[stored] += tree["log"][length][ends[length][stored]]
-        open_ &= ~stored
-        score[inside & ~stored] += rest[inside & ~stored]
-    root = open_ & (flat >= 0)
-    score[root] += tree["log"][0][flat[root]]
-    return score[1:]
-
-
-def fit(texts: DataFrame, words: list[bytes], n_words: np.ndarray, total: int, distinct: int, p_min: float, depth: int) -> Tree:
-    """Count longer and longer sequences, each round only after those that were frequent, and build the tree.
-
-    The driver gets at most 1 / p_min sequences a round.
-    """
-    keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    for _ in range(depth):
-        found = sequence_counts(texts, keys).where(F.col("n") >= least(total, p_min)).toArrow()
-        key, n = (found.column(c).to_numpy() for c in ("key", "n"))
-        order = np.argsort(key)
-        keys.append(key[order])
-        counts.append(n[order])
-        if not len(key):
-            break
-    return build(root_shares(n_words, total, distinct), n_words, keys, counts, total)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if single:
+                key = np.array([word_code(w) for w in batch.column("word").to_pylist()], np.int64)
+            else:
+                key = joined(*(batch.column(c).to_numpy() for c in ("context", "suffix")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "key"])
 
+    return words.mapInArrow(add, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", key long")
 
-def least(total: int, p_min: float) -> int:
-    return max(LEAST, math.ceil(p_min * total))
 
+def with_shares(found: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(key, context, suffix, n, size, below, left, share, total_gain, stored) of sequences.
 
-def score(df: DataFrame, id_col: str, text_col: str, train: Column, p_min: float = P_MIN, depth: int = DEPTH) -> DataFrame:
+    ``below`` is the last token's share in the context's suffix, ``left`` what the context hands to that,
+    ``total_gain`` what the context's distribution is better than its suffix's, over its occurrences.
+    """
+    rows = (found.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("size")), "context")
+            .join(shorter.select(F.col("key").alias("suffix"), F.col("share").alias("below")), "suffix"))
+    left = 1 - (F.sum("n") - DISCOUNT * F.count("*")) / F.first("size")
+    rows = rows.join(rows.groupBy("context").agg(left.alias("left"), F.count("*").alias("stored"), F.sum("n").alias("seen")), "context")
+    rows = rows.withColumn("share", (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("below"))
+    gain = (F.sum(F.col("n") * F.log(F.col("share") / F.col("below")))
+            + F.first((F.col("size") - F.col("seen")) * F.log("left")))
+    return rows.join(rows.groupBy("context").agg(gain.alias("total_gain")), "context").drop("seen")
+
+
+def weights(texts: DataFrame, counts: DataFrame, codes: np.ndarray, total: int, distinct: int, at_least: int, depth: int) -> DataFrame:
+    """(key, n, gain, rest): what a sequence adds to a score that ends with it, and to that of the token after it."""
+    root = (F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))
+    shorter = materialize(named(counts.where((F.col("n") >= at_least) | (F.col("word") == F.lit(END)))).select("key", "n", root.alias("share")),
+                          "tree-words")
+    levels = []
+    for length in range(1, depth + 1):
+        found = sequence_counts(texts, codes, bitmap(shorter), length).where(F.col("n") >= at_least)
+        shorter = materialize(with_shares(materialize(named(found), "tree-sequences"), shorter), "tree-shares")
+        levels.append(shorter)
+
+    # the contexts that stay, longest first; a level's contexts are sequences of the level above
+    out, forced = [], None
+    for length in reversed(range(1, depth + 1)):
+        level = levels[length - 1]
+        stays = level.where(F.col("total_gain") > 0.5 * F.col("stored") * math.log(max(total, 2))).select("context").distinct()
+        if forced is not None:
+            stays = stays.union(forced).distinct()
+        stays = materialize(stays, "tree-contexts")
+        kept = level.join(stays, "context")
+        rest = F.log10("left")
+        out.append(kept.select("key", "n", (F.log10(F.col("share") / F.col("below")) - rest).alias("gain"), F.lit(0.0).alias("rest")))
+        out.append(kept.groupBy(F.col("context").alias("key")).agg(F.first("size").alias("n"), F.lit(0.0).alias("gain"), F.first(rest).alias("rest")))
+        if length > 1:
+            forced = levels[length - 2].join(stays.select(F.col("context").alias("key")), "key").select(F.col("suffix").alias("context"))
+    every = out[0]
+    for part in out[1:]:
+        every = every.union(part)
+    return materialize(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain"), F.sum("rest").alias("rest")), "tree-weights")
+
+
+def token_scores(names: list[np.ndarray], there: list[np.ndarray], keys: np.ndarray, gain: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """What the sequences in the sorted ``keys`` add to the root's log10 share of every token."""
+    out = np.zeros(len(names[0]))
+    if not len(keys):
+        return out
+    places = [np.minimum(np.searchsorted(keys, x), len(keys) - 1) for x in names]
+    found = [keys[at] == x for at, x in zip(places, names)]
+    for length in range(1, len(names)):
+        on = there[length]
+        out += np.where(on & found[length], gain[places[length]], 0)
+        out[1:] += np.where(on[1:] & found[length - 1][:-1], rest[places[length - 1][:-1]], 0)
+    return out
+
+
+def unresolved(names: list[np.ndarray], there: list[np.ndarray], keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(token, key, is context) of the sequences that ``bits`` marks and ``keys`` does not hold, in the order of the tokens."""
+    at, key, context = [], [], []
+    may = [marked(x, bits) & ~np.isin(x, keys) for x in names]
+    for length in range(1, len(names)):
+        for spots, of in ((np.flatnonzero(there[length] & may[length]), names[length]),
+                          (np.flatnonzero(there[length] & np.r_[False, may[length - 1][:-1]]), before(names[length - 1]))):
+            at.append(spots)
+            key.append(of[spots])
+            context.append(np.full(len(spots), of is not names[length]))
+    order = np.argsort(np.concatenate(at), kind="stable")
+    return tuple(np.concatenate(x)[order] for x in (at, key, context))
+
+
+def least(total: int, root_share: float = ROOT_SHARE) -> int:
+    return max(LEAST, math.ceil(root_share * math.sqrt(total)))
+
+
+def score(df: DataFrame, id_col: str, text_col: str, train: Column, root_share: float = ROOT_SHARE, depth: int = DEPTH) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``df``.
 
     The rows where ``train`` holds are learned from.  ``base_score`` is the log10
@@ -260,37 +318,62 @@ def score(df: DataFrame, id_col: str, text_col: str, train: Column, p_min: float
                      F.coalesce(train, F.lit(False)).alias("train"))
     counts = materialize(word_counts(docs.where("train")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    at_least = least(total, p_min)
+    numbered = max(LEAST, math.ceil(P_MIN * total))
     end = F.col("word") == F.lit(END)
-    frequent = counts.where((F.col("n") >= at_least) | end).orderBy(~end, F.desc("n"), "word").toArrow()
+    frequent = counts.where((F.col("n") >= numbered) | end).orderBy(~end, F.desc("n"), "word").toArrow()
     words, n_words = frequent.column("word").to_pylist() or [END], frequent.column("n").to_numpy()
     n_words = n_words if len(n_words) else np.zeros(1, np.int64)
+    codes = np.array([word_code(w) for w in words], np.int64)
+    logs = np.log10((n_words + 0.5) / (total + 0.5 * (distinct + 1)))
 
     texts = materialize(coded(docs, df.schema[id_col].dataType.simpleString(), words), "tokens")
-    tree = fit(texts.where("train"), words, n_words, total, distinct, p_min, depth)
-    shared = spark.sparkContext.broadcast((tree, n_words > 0))
+    tree = weights(texts.where("train"), counts, codes, total, distinct, least(total, root_share), depth)
+    top = tree.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    tail = None
+    if top.num_rows == HEAD:
+        last_n, last_key = (top.column(c)[-1].as_py() for c in ("n", "key"))
+        tail = tree.where((F.col("n") < last_n) | ((F.col("n") == last_n) & (F.col("key") > last_key)))
+    order = np.argsort(top.column("key").to_numpy())
+    head = tuple(top.column(c).to_numpy()[order] for c in ("key", "gain", "rest"))
+    shared = spark.sparkContext.broadcast((codes, logs, n_words > 0, head, None if tail is None else bitmap(tail)))
+    spot = pa.struct([("key", pa.int64()), ("context", pa.bool_())])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shared.value
+        codes, logs, seen, head, bits = shared.value
         for batch in blocks(batches):
             ids = batch.column("ids").flatten().to_numpy()
-            starts = np.r_[0, np.cumsum(batch.column("n_tokens").to_numpy())[:-1]]
-            in_tree = ids >= 0
-            parts = [np.add.reduceat(x, starts) for x in ((in_tree & seen[ids]).astype(np.int64), np.where(in_tree, own["log"][0][ids], 0.0),
-                                                           token_scores(ids, own))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "train", "n_tokens")), *map(pa.array, parts)],
-                                             names=["row", "id", "train", "n_tokens", "known", "base", "tree"])
+            sizes = batch.column("n_tokens").to_numpy()
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            numbers = np.maximum(ids, 0)
+            names, there = sequences(ids, codes, depth)
+            more = token_scores(names, there, *head)[1:]
+            parts = [np.add.reduceat(x, starts) for x in (((ids >= 0) & seen[numbers]).astype(np.int64), np.where(ids >= 0, logs[numbers], 0.0), more)]
+            at, key, context = unresolved(names, there, head[0], bits) if bits is not None else (np.zeros(0, np.int64),) * 3
+            spots = pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(context.astype(bool))], fields=list(spot))
+            per_text = np.bincount(np.searchsorted(starts, at - 1, side="right") - 1, minlength=len(starts))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "id", "train", "n_tokens")), *map(pa.array, parts), pa.ListArray.from_arrays(_offsets(per_text), spots)],
+                names=["row", "id", "train", "n_tokens", "known", "base", "tree", "spots"])
             tidy()
 
     kind = texts.schema["id"].dataType.simpleString()
     scored = (texts.select("row", "id", "train", "n_tokens", "ids")
-              .mapInArrow(add_up, f"row long, id {kind}, train boolean, n_tokens long, known long, base double, tree double"))
+              .mapInArrow(add_up, f"row long, id {kind}, train boolean, n_tokens long, known long, base double, tree double, "
+                                  "spots array<struct<key: bigint, context: boolean>>"))
     share = (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total + 0.5 * (distinct + 1))
-    rare = (texts.select("row", F.inline("rare")).join(counts.where(F.col("n") < at_least), "word", "left")
+    adds = [texts.select("row", F.inline("rare")).join(counts.where(F.col("n") < numbered), "word", "left")
             .groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"),
-                                F.sum(F.col("times") * F.log10(share)).alias("rare_score")))
-    more = F.coalesce("rare_score", F.lit(0.0))
-    return scored.join(rare, "row", "left").select(
+                                F.sum(F.col("times") * F.log10(share)).alias("rare_score"))]
+    if tail is None:
+        scored = scored.drop("spots").withColumn("tail_score", F.lit(0.0))
+    else:
+        scored = materialize(scored, "scored")
+        adds.append(scored.select("row", F.inline("spots")).join(tail.drop("n"), "key")
+                    .groupBy("row").agg(F.sum(F.when(F.col("context"), F.col("rest")).otherwise(F.col("gain"))).alias("tail_score")))
+    for add in adds:
+        scored = scored.join(add, "row", "left")
+    base = F.col("base") + F.coalesce("rare_score", F.lit(0.0))
+    return scored.select(
         F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("tree") + more).alias("score"))
+        base.alias("base_score"), (base + F.col("tree") + F.coalesce("tail_score", F.lit(0.0))).alias("score"))
