@@ -47,7 +47,7 @@ MAP_BITS = 1 << 27             # of the bitmaps that tell which sequences may be
 DEPTH = 2                      # words of the longest context
 DISCOUNT = 0.5                 # taken from each stored count
 FLUSH = 300_000                # distinct words that a task counts before it sends them on
-BLOCK = 1 << 20                # tokens looked up at a time
+BLOCK = 1 << 19                # tokens looked up at a time
 END = b"\n"                    # no word holds white space
 END_ID = 0                     # its number; a text begins after an end
 
@@ -132,26 +132,27 @@ def _offsets(sizes: list[int]) -> pa.Array:
 
 # --- sequences ------------------------------------------------------------------------------------
 
-def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Name of the sequence that is ``context`` without its last word and ``suffix`` without its first."""
-    x = context.view(np.uint64) * ODD + suffix.view(np.uint64)
+def joined(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Name of the sequence of a context and the token after it."""
+    x = context.view(np.uint64) * ODD + token.view(np.uint64)
     for shift, by in zip((30, 27), MIXERS):
         x = (x ^ (x >> np.uint64(shift))) * by
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def sequences(ids: np.ndarray, codes: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def sequences(ids: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """([name of the sequence of 1, 2, ... ``depth`` + 1 tokens that ends at each], [whether there is one]), after a leading end.
 
-    A sequence may begin and end with an end, but not reach over one.
+    A token's name is its place among the numbered words, or its code.  A sequence may
+    begin and end with an end, but not reach over one.
     """
     flat = np.r_[END_ID, ids]
     after_end = np.r_[True, flat[:-1] == END_ID]
-    names, there = [np.where(flat >= 0, codes[np.maximum(flat, 0)], flat)], [np.ones(len(flat), bool)]
+    names, there = [flat], [np.ones(len(flat), bool)]
     for length in range(1, depth + 1):
         on = np.r_[False, there[-1][:-1]]
         there.append(on & ~after_end if length > 1 else on)
-        names.append(joined(before(names[-1]), names[-1]))
+        names.append(joined(before(names[-1]), flat))
     return names, there
 
 
@@ -187,40 +188,50 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-def sequence_counts(texts: DataFrame, codes: np.ndarray, bits: np.ndarray, length: int) -> DataFrame:
-    """(context, suffix, n) of the sequences of ``length`` + 1 tokens whose context and suffix ``bits`` marks."""
-    shared = texts.sparkSession.sparkContext.broadcast((codes, bits))
+def sequence_counts(texts: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
+    """(context, token, n) of the sequences of ``length`` + 1 tokens; of those that ``bits`` does not mark without their first or last not all."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            names, there = sequences(batch.column("ids").flatten().to_numpy(), shared.value[0], length)
-            suffix = names[length - 1]
-            good = marked(suffix, shared.value[1])
-            on = there[length] & good & np.r_[False, good[:-1]]
+            names, there = sequences(batch.column("ids").flatten().to_numpy(), length)
+            good = marked(names[length - 1], shared.value)
+            on = np.flatnonzero(there[length] & good & np.r_[False, good[:-1]])
             _, first, n = np.unique(names[length][on], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(before(suffix)[on][first]), pa.array(suffix[on][first]), pa.array(n.astype(np.int64))],
-                                             names=["context", "suffix", "n"])
+            at = on[first]
+            yield pa.RecordBatch.from_arrays([pa.array(names[length - 1][at - 1]), pa.array(names[0][at]), pa.array(n.astype(np.int64))],
+                                             names=["context", "token", "n"])
+            del names, there, good, on, first, n, at
             tidy()
 
-    return (texts.select("ids").mapInArrow(count, "context long, suffix long, n long")
-            .groupBy("context", "suffix").agg(F.sum("n").alias("n")))
+    return (texts.select("ids").mapInArrow(count, "context long, token long, n long")
+            .groupBy("context", "token").agg(F.sum("n").alias("n")))
 
 
 # --- tree -----------------------------------------------------------------------------------------
 
-def named(words: DataFrame) -> DataFrame:
-    """Adds the column ``key`` to words, or to contexts with suffixes."""
-    single = "word" in words.columns
+def coded_words(words: DataFrame) -> DataFrame:
+    """(key, n) of words without a number."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.array([word_code(w) for w in batch.column("word").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("n")], names=["key", "n"])
+
+    return words.select("word", "n").mapInArrow(add, "key long, n long")
+
 
+def named(found: DataFrame) -> DataFrame:
+    """(key, context, suffix, n, size) of sequences, from ``within``, the context without its first token (null: it has one only)."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if single:
-                key = np.array([word_code(w) for w in batch.column("word").to_pylist()], np.int64)
-            else:
-                key = joined(*(batch.column(c).to_numpy() for c in ("context", "suffix")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, "key"])
+            context, token = (batch.column(c).to_numpy() for c in ("context", "token"))
+            single = batch.column("within").is_null().to_numpy(zero_copy_only=False)
+            within = batch.column("within").fill_null(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(joined(context, token)), batch.column("context"),
+                                              pa.array(np.where(single, token, joined(within, token))), batch.column("n"), batch.column("size")],
+                                             names=["key", "context", "suffix", "n", "size"])
 
-    return words.mapInArrow(add, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", key long")
+    return found.select("context", "token", "within", "n", "size").mapInArrow(add, "key long, context long, suffix long, n long, size long")
 
 
 def with_shares(found: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -229,8 +240,8 @@ def with_shares(found: DataFrame, shorter: DataFrame) -> DataFrame:
     ``below`` is the last token's share in the context's suffix, ``left`` what the context hands to that,
     ``total_gain`` what the context's distribution is better than its suffix's, over its occurrences.
     """
-    rows = (found.join(shorter.select(F.col("key").alias("context"), F.col("n").alias("size")), "context")
-            .join(shorter.select(F.col("key").alias("suffix"), F.col("share").alias("below")), "suffix"))
+    sized = found.join(shorter.select(F.col("key").alias("context"), F.col("suffix").alias("within"), F.col("n").alias("size")), "context")
+    rows = materialize(named(sized).join(shorter.select(F.col("key").alias("suffix"), F.col("share").alias("below")), "suffix"), "tree-sequences")
     left = 1 - (F.sum("n") - DISCOUNT * F.count("*")) / F.first("size")
     rows = rows.join(rows.groupBy("context").agg(left.alias("left"), F.count("*").alias("stored"), F.sum("n").alias("seen")), "context")
     rows = rows.withColumn("share", (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("below"))
@@ -239,15 +250,15 @@ def with_shares(found: DataFrame, shorter: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("context").agg(gain.alias("total_gain")), "context").drop("seen")
 
 
-def weights(texts: DataFrame, counts: DataFrame, codes: np.ndarray, total: int, distinct: int, at_least: int, depth: int) -> DataFrame:
+def weights(texts: DataFrame, words: DataFrame, total: int, distinct: int, at_least: int, depth: int) -> DataFrame:
     """(key, n, gain, rest): what a sequence adds to a score that ends with it, and to that of the token after it."""
     root = (F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1))
-    shorter = materialize(named(counts.where((F.col("n") >= at_least) | (F.col("word") == F.lit(END)))).select("key", "n", root.alias("share")),
-                          "tree-words")
+    shorter = materialize(words.where((F.col("n") >= at_least) | (F.col("key") == END_ID))
+                          .select("key", F.lit(None).cast("long").alias("suffix"), "n", root.alias("share")), "tree-words")
     levels = []
     for length in range(1, depth + 1):
-        found = sequence_counts(texts, codes, bitmap(shorter), length).where(F.col("n") >= at_least)
-        shorter = materialize(with_shares(materialize(named(found), "tree-sequences"), shorter), "tree-shares")
+        found = sequence_counts(texts, bitmap(shorter), length).where(F.col("n") >= at_least)
+        shorter = materialize(with_shares(found, shorter), "tree-shares")
         levels.append(shorter)
 
     # the contexts that stay, longest first; a level's contexts are sequences of the level above
@@ -323,11 +334,13 @@ def score(df: DataFrame, id_col: str, text_col: str, train: Column, root_share:
     frequent = counts.where((F.col("n") >= numbered) | end).orderBy(~end, F.desc("n"), "word").toArrow()
     words, n_words = frequent.column("word").to_pylist() or [END], frequent.column("n").to_numpy()
     n_words = n_words if len(n_words) else np.zeros(1, np.int64)
-    codes = np.array([word_code(w) for w in words], np.int64)
     logs = np.log10((n_words + 0.5) / (total + 0.5 * (distinct + 1)))
 
     texts = materialize(coded(docs, df.schema[id_col].dataType.simpleString(), words), "tokens")
-    tree = weights(texts.where("train"), counts, codes, total, distinct, least(total, root_share), depth)
+    at_least = least(total, root_share)
+    in_numbers = spark.createDataFrame(pa.table({"key": np.arange(len(n_words)), "n": n_words}))
+    others = counts.where((F.col("n") < numbered) & (F.col("n") >= at_least) & ~end)
+    tree = weights(texts.where("train"), in_numbers.union(coded_words(others)), total, distinct, at_least, depth)
     top = tree.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
     tail = None
     if top.num_rows == HEAD:
@@ -335,17 +348,17 @@ def score(df: DataFrame, id_col: str, text_col: str, train: Column, root_share:
         tail = tree.where((F.col("n") < last_n) | ((F.col("n") == last_n) & (F.col("key") > last_key)))
     order = np.argsort(top.column("key").to_numpy())
     head = tuple(top.column(c).to_numpy()[order] for c in ("key", "gain", "rest"))
-    shared = spark.sparkContext.broadcast((codes, logs, n_words > 0, head, None if tail is None else bitmap(tail)))
+    shared = spark.sparkContext.broadcast((logs, n_words > 0, head, None if tail is None else bitmap(tail)))
     spot = pa.struct([("key", pa.int64()), ("context", pa.bool_())])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, logs, seen, head, bits = shared.value
+        logs, seen, head, bits = shared.value
         for batch in blocks(batches):
             ids = batch.column("ids").flatten().to_numpy()
             sizes = batch.column("n_tokens").to_numpy()
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             numbers = np.maximum(ids, 0)
-            names, there = sequences(ids, codes, depth)
+            names, there = sequences(ids, depth)
             more = token_scores(names, there, *head)[1:]
             parts = [np.add.reduceat(x, starts) for x in (((ids >= 0) & seen[numbers]).astype(np.int64), np.where(ids >= 0, logs[numbers], 0.0), more)]
             at, key, context = unresolved(names, there, head[0], bits) if bits is not None else (np.zeros(0, np.int64),) * 3
