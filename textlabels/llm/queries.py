@@ -180,24 +180,24 @@ template AS (SELECT * FROM {_values(
     if w not in license_scan.FUNCTION_WORDS)} AS t(no, label, place, term)),
 held AS (SELECT DISTINCT r, term FROM p),
 idf AS (SELECT term, round(ln(((SELECT count(*) FROM d) + 1.0::double) / count(*)), 6) AS idf FROM held GROUP BY term),
-top AS (SELECT r, term, idf FROM held JOIN idf USING (term)
-        QUALIFY row_number() OVER (PARTITION BY r ORDER BY idf DESC, term) <= 8),
+verified AS (
+  SELECT no, r, pos - off AS shift FROM p JOIN {_values(
+      (no, len(text.partition(phrase)[0].split()) + i, len(phrase.split()), w)
+      for no, (_, phrase, text) in enumerate(license_scan.TEMPLATES) for i, w in enumerate(phrase.split()))}
+      AS k(no, off, size, term) USING (term) GROUP BY no, size, r, pos - off HAVING count(*) = size),
 met AS (
-  SELECT no, label, r, shift, sum(idf) AS weight
-  FROM (SELECT DISTINCT no, label, r, pos - place AS shift, term, idf FROM p JOIN top USING (r, term) JOIN template USING (term))
+  SELECT no, label, r, shift, sum(CASE WHEN k <= 8 THEN idf END) AS weight
+  FROM (SELECT *, row_number() OVER (PARTITION BY no, label, r, shift ORDER BY idf DESC, term) AS k
+        FROM (SELECT DISTINCT no, label, r, shift, term, idf
+              FROM p JOIN template USING (term) JOIN idf USING (term) JOIN verified USING (no, r) WHERE pos - place = shift))
   GROUP BY ALL HAVING count(*) >= 2),
 most AS (
   SELECT no, sum(idf) AS most
   FROM (SELECT no, idf FROM (SELECT DISTINCT no, term FROM template) JOIN idf USING (term)
         QUALIFY row_number() OVER (PARTITION BY no ORDER BY idf DESC, term) <= 8) GROUP BY no),
-verified AS (
-  SELECT no, r, pos - off AS shift FROM p JOIN {_values(
-      (no, len(text.partition(phrase)[0].split()) + i, len(phrase.split()), w)
-      for no, (_, phrase, text) in enumerate(license_scan.TEMPLATES) for i, w in enumerate(phrase.split()))}
-      AS k(no, off, size, term) USING (term) GROUP BY no, size, r, pos - off HAVING count(*) = size),
 aligned AS (
   SELECT r, label, least(1.0::double, round(weight / most, 6)) AS score
-  FROM met JOIN verified USING (no, r, shift) JOIN most USING (no)),
+  FROM met JOIN most USING (no)),
 bases AS (SELECT r, count(*) AS n, min(start) AS a, max(start) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY r),
 everything AS (
   SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(score) AS score
