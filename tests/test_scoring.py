@@ -224,6 +224,20 @@ def test_unknown_tokens_do_not_travel(spark, frame, model):
     assert all(np.allclose(a[i], b[i]) for i in a)
 
 
+def test_tokens_beyond_the_broadcast_are_not_gathered_by_bag(spark, frame, model):
+    """Gathering them in lists sorts, and spills, every token of the texts once a task holds over 128 bags."""
+    frequent, others, n = M._split_weights(model, 80 * 3)
+    bags = frame.selectExpr("id", "array_distinct(split(text, ' ')) as bag")
+    partial = M._partial_scores(bags, ["id"], frequent, ["w0", "w1"], M.membership_filter(others, "token", n))
+    plan = partial._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    sums = partial.where("size(_rest) = 0")
+    assert sums.count() == frame.count() == sums.select("id").distinct().count()
+    rest = {(r.id, r.token) for r in partial.selectExpr("id", "explode(_rest) as token").collect()}
+    known, first = ({r.token for r in t.collect()} for t in (others, frequent))
+    assert rest == {(r.id, t) for r in bags.collect() for t in r.bag if t in known} and first
+
+
 def test_tokens_of_many_rows_are_dealt_into_shares(spark, frame, model, monkeypatch):
     want = {r.id: r.probs for r in M.linear_score(frame, "id", "text", model).collect()}
     monkeypatch.setattr(M, "SHARE_ROWS", 4)

@@ -154,12 +154,21 @@ def membership_filter(tokens_: DataFrame, token: str, n: int) -> Column:
 
 
 def _partial_scores(bags: DataFrame, keys: Sequence[str], frequent: DataFrame, names: Sequence[str], known: Column | None) -> DataFrame:
-    """``keys, n`` and the sums of the broadcast weights; with ``known`` also ``_rest``, the other tokens for which it holds."""
-    tokens_of = bags.select(*keys, F.coalesce(F.size("bag"), F.lit(0)).alias("n"), F.explode_outer("bag").alias("token"))
-    met = tokens_of.join(F.broadcast(frequent.withColumn("_met", F.lit(True))), "token", "left")
-    rest = [] if known is None else [F.collect_list(F.when(F.col("_met").isNull() & known, F.col("token"))).alias("_rest")]
-    sums = met.groupBy(*keys, "n").agg(*[F.sum(c).alias(c) for c in names], *rest)
-    return sums.select(*keys, "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names], *(["_rest"] if rest else []))
+    """``keys, n`` and the sums of the broadcast weights, a row for each bag.
+
+    With ``known`` also ``_rest``, empty there, and a row of its own for every other
+    token for which ``known`` holds: weights 0 and the token in ``_rest``.  Tokens are not
+    gathered by bag: that would sort, and spill, every token of the texts.
+    """
+    size = F.coalesce(F.size("bag"), F.lit(0)).alias("n")
+    tokens_of = bags.select(*keys, size, F.explode_outer("bag").alias("token"))
+    sums = (tokens_of.join(F.broadcast(frequent), "token", "left").groupBy(*keys, "n").agg(*[F.sum(c).alias(c) for c in names])
+            .select(*keys, "n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names]))
+    if known is None:
+        return sums
+    rest = explode_rows(bags, [*keys, size], F.col("bag"), "token").where(known).join(F.broadcast(frequent.select("token")), "token", "left_anti")
+    return (sums.withColumn("_rest", F.array().cast("array<string>"))
+            .unionByName(rest.select(*keys, "n", *[F.lit(0.0).alias(c) for c in names], F.array("token").alias("_rest"))))
 
 
 def _rest_sums(partial: DataFrame, keys: Sequence[str], others: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -188,9 +197,9 @@ def _score_bags(bags: DataFrame, keys: Sequence[str], model: LogOddsModel,
 
     The weights of the most frequent tokens, as many as fit in
     ``broadcast_bytes``, are broadcast and summed where the text is read.  If that
-    is all of them, nothing else is done.  Otherwise a filter tells which tokens the
-    model may know besides; those stay with their row as a list, so the text is read
-    once, and meet the other weights in a shuffle.  Tokens that the model does not
+    is all of them, nothing else is done.  Otherwise the bags are written once with a number, so
+    that the text is read once, and a filter tells which tokens the model may know
+    besides; those meet the other weights in a shuffle, each with its bag's number.  Tokens that the model does not
     know do not travel.  A bag without tokens has ``n`` = 0 and the probabilities of
     the bias.
     """
@@ -200,9 +209,10 @@ def _score_bags(bags: DataFrame, keys: Sequence[str], model: LogOddsModel,
     names = [f"w{k}" for k in k_all]
     frequent, others, n_others = _split_weights(model, broadcast_bytes)
     if n_others:
-        partial = materialize(_partial_scores(bags, keys, frequent, names, membership_filter(others, "token", n_others)), "partial-scores")
-        sums = (partial.select(*keys, "n", *names).unionByName(_rest_sums(partial, keys, others, names))
-                .groupBy(*keys, "n").agg(*[F.sum(c).alias(c) for c in names]))
+        bags = materialize(bags.withColumn("_bag", F.monotonically_increasing_id()), "bags")
+        partial = materialize(_partial_scores(bags, ["_bag"], frequent, names, membership_filter(others, "token", n_others)), "partial-scores")
+        sums = (partial.where(F.size("_rest") == 0).select("_bag", "n", *names).unionByName(_rest_sums(partial, ["_bag"], others, names))
+                .groupBy("_bag", "n").agg(*[F.sum(c).alias(c) for c in names]).join(bags.select("_bag", *keys), "_bag"))
     else:
         sums = _partial_scores(bags, keys, frequent, names, None)
     bias = model.bias.select(F.struct("*").alias("b")).scalar()
