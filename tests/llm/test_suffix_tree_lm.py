@@ -132,3 +132,19 @@ def test_the_tree_grows_with_the_corpus():
 def test_nothing_to_learn_from(spark):
     rows = [(i, "a b") for i in range(60) if not learns(i)]
     assert rows and fast(spark.createDataFrame(rows, SCHEMA)) == [(i, True, 3, 0, 0, 0.0, 0.0) for i, _ in rows]
+
+
+def test_texts_are_split_into_words_in_small_blocks(spark, monkeypatch):
+    """A batch of 200 texts is coded block by block, with the same result; a text longer than a block stays whole."""
+    import pyarrow as pa
+    raw = [b"a b" * 5] * 100 + [b"word " * 500] + [b""] * 99
+    sizes = [b.num_rows for b in L.blocks(iter([pa.RecordBatch.from_arrays([pa.array(raw)], names=["raw"])]),
+                                          lambda b: L.pc.binary_length(b.column("raw")), 300)]
+    assert sum(sizes) == 200 and sizes[:5] == [20] * 5 and sizes[5] <= 100
+    docs = spark.createDataFrame([(i, x, True) for i, x in enumerate(raw)], "id long, raw binary, train boolean").coalesce(1)
+
+    def result(block):
+        monkeypatch.setattr(L, "TEXT_BLOCK", block)
+        return sorted((r.id, r.n_tokens, r.ids, r.rare) for r in L.coded(docs, "bigint", [L.END, b"a"]).collect())
+
+    assert result(300) == result(1 << 22)

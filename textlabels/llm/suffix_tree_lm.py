@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -48,6 +48,7 @@ DEPTH = 2                      # words of the longest context
 DISCOUNT = 0.5                 # taken from each stored count
 FLUSH = 300_000                # distinct words that a task counts before it sends them on
 BLOCK = 1 << 19                # tokens looked up at a time
+TEXT_BLOCK = 1 << 22           # bytes of text split into words at a time
 END = b"\n"                    # no word holds white space
 END_ID = 0                     # its number; a text begins after an end
 
@@ -65,6 +66,21 @@ def tokens(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+def blocks(batches: Iterator[pa.RecordBatch], lengths: Callable[[pa.RecordBatch], pa.Array], most: int) -> Iterator[pa.RecordBatch]:
+    """Whole texts, cut so that the ``lengths`` of a block add up to about ``most`` beyond its first text's."""
+    for batch in batches:
+        ends = np.cumsum(lengths(batch).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def n_ids(batch: pa.RecordBatch) -> pa.Array:
+    return pc.list_value_length(batch.column("ids"))
+
+
 # --- words ----------------------------------------------------------------------------------------
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -101,7 +117,7 @@ def coded(docs: DataFrame, kind: str, words: list[bytes]) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(shared.value)}
-        for batch in batches:
+        for batch in blocks(batches, lambda b: pc.binary_length(b.column("raw")), TEXT_BLOCK):
             ids, others, sizes, n_others = [], [], [], []
             for raw in batch.column("raw"):
                 here = tokens(raw.as_py())
@@ -177,23 +193,12 @@ def marked(names: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole texts, cut so that a block holds about ``BLOCK`` tokens beyond its first text's."""
-    for batch in batches:
-        ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy())
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def sequence_counts(texts: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
     """(context, token, n) of the sequences of ``length`` + 1 tokens; of those that ``bits`` does not mark without their first or last not all."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, n_ids, BLOCK):
             names, there = sequences(batch.column("ids").flatten().to_numpy(), length)
             good = marked(names[length - 1], shared.value)
             on = np.flatnonzero(there[length] & good & np.r_[False, good[:-1]])
@@ -353,7 +358,7 @@ def score(df: DataFrame, id_col: str, text_col: str, train: Column, root_share:
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, seen, head, bits = shared.value
-        for batch in blocks(batches):
+        for batch in blocks(batches, n_ids, BLOCK):
             ids = batch.column("ids").flatten().to_numpy()
             sizes = batch.column("n_tokens").to_numpy()
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
